@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopline.llm import canonical, components, percentiles
+from loopline.llm import canonical, components, percentiles, tokenizer
 from loopline.session import table
 
 PCTS = [50, 90, 95, 99]
@@ -83,10 +83,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return components.components(pairs, "a", "b").select(F.col("vertex").alias("code"), F.col("component").alias("group_code"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document by the byte_bpe_50k vocabulary."""
+    return tokenizer.encode(table(spark, d, "documents"), ["doc_id"], "text")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_misses": p2_misses,
     "p4_percentiles": p4_percentiles, "p4_combined": p4_combined,
     "p5_found": p5_found,
+    "p8_ids": p8_ids,
 }
 
 _P4 = """
