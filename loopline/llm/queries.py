@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopline.llm import canonical, components, percentiles, tokenizer
+from loopline.llm import canonical, components, leaks, percentiles, tokenizer
 from loopline.session import table
 
 PCTS = [50, 90, 95, 99]
@@ -88,11 +88,18 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"), ["doc_id"], "text")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents holding a passage of an evaluation item, with the item."""
+    found = leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return found.select("doc_id", "item_id")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_misses": p2_misses,
     "p4_percentiles": p4_percentiles, "p4_combined": p4_combined,
     "p5_found": p5_found,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
 }
 
 _P4 = """
