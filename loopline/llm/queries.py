@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopline.llm import canonical, components, leaks, percentiles, tokenizer
+from loopline.llm import canonical, components, leaks, percentiles, spam, tokenizer
 from loopline.session import table
 
 PCTS = [50, 90, 95, 99]
@@ -94,12 +94,18 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents most of whose text is keyword repetition, links or tags."""
+    return spam.find_spam(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_misses": p2_misses,
     "p4_percentiles": p4_percentiles, "p4_combined": p4_combined,
     "p5_found": p5_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
+    "p10_found": p10_found,
 }
 
 _P4 = """
