@@ -23,11 +23,11 @@ EARTH_KM = 6371.0
 
 
 def haversine_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
-    """Great-circle distance in kilometres."""
+    """Great-circle distance in kilometres; null if any coordinate is null."""
     h = F.pow(F.sin((F.radians(lat_b) - F.radians(lat_a)) / 2), 2) + F.cos(F.radians(lat_a)) * F.cos(F.radians(lat_b)) * F.pow(
         F.sin((F.radians(lon_b) - F.radians(lon_a)) / 2), 2
     )
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.when(h.isNotNull(), 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def _km(lat_a: float, lon_a: float, lat_b: float, lon_b: float) -> float:
