@@ -5,12 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopline.llm import canonical, components, leaks, percentiles, spam, tokenizer
+from loopline.llm import canonical, components, leaks, matching, percentiles, spam, tokenizer
 from loopline.session import table
 
 PCTS = [50, 90, 95, 99]
 
 
+#: Positions outside the country are unusable: south, north, west, east.
+COUNTRY = (6.0, 37.5, 68.0, 97.5)
+
+
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of the two station lists with their confidence and field scores."""
+    a = table(spark, d, "stations").select(F.col("station_id").alias("id"), "code", F.col("station_name").alias("name"), F.col("state_name").alias("state"), "lat", "lon")
+    b = table(spark, d, "ct_stations").select(
+        F.col("ct_id").alias("id"), F.col("station_code").alias("code"), F.col("station_name").alias("name"),
+        F.col("state_name").alias("state"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"),
+    )
+    m = matching.match(a, b, COUNTRY)
+    return m.withColumnsRenamed({"id_a": "station_id", "id_b": "ct_id"})
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of rows of the two station lists for the same physical station."""
+    return p1_matches(spark, d).select("station_id", "ct_id")
+
+
 def _group_names(spark: SparkSession, d: str) -> DataFrame:
     """Reference names with the number of coded stops of each group as its uses."""
     groups = table(spark, d, "station_groups")
@@ -100,6 +120,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_matches": p1_matches,
     "p2_found": p2_found, "p2_misses": p2_misses,
     "p4_percentiles": p4_percentiles, "p4_combined": p4_combined,
     "p5_found": p5_found,
