@@ -77,10 +77,11 @@ def days_mask(days: Column) -> Column:
 
 
 def mask_days(mask: Column) -> Column:
-    """Weekday names of a mask in order from Monday."""
-    return F.filter(
+    """Weekday names of a mask in order from Monday; null of a null mask."""
+    names = F.filter(
         F.array(*[F.when(mask.bitwiseAND(1 << i) != 0, F.lit(d)) for i, d in enumerate(WEEKDAYS)]), lambda x: x.isNotNull()
     )
+    return F.when(mask.isNotNull(), names)
 
 
 def shift_mask(mask: Column, days: Column) -> Column:
