@@ -91,8 +91,8 @@ def merged_intervals(rows: DataFrame, keys: list[str], start: str, end: str) ->
 def drop_contained(sets: DataFrame, key: str, values: str) -> DataFrame:
     """Sets of a key that no other set of that key strictly contains; equal sets are one."""
     s = sets.select(key, F.array_sort(F.array_distinct(values)).alias(values)).distinct()
-    o = s.select(F.col(key).alias("k"), F.col(values).alias("v"))
-    inside = (F.col(key) == F.col("k")) & (F.size("v") > F.size(values)) & (F.size(F.array_except(values, "v")) == 0)
+    o = s.select(F.col(key).alias("__k"), F.col(values).alias("__v"))
+    inside = (F.col(key) == F.col("__k")) & (F.size("__v") > F.size(values)) & (F.size(F.array_except(values, "__v")) == 0)
     return s.join(o, inside, "left_anti")
 
 
