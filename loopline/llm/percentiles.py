@@ -26,7 +26,7 @@ def summarise(df: DataFrame, by: list[str], value: Column, resolution: float = 0
     """
     v = value.cast("double")
     if resolution:
-        v = (F.floor(v / resolution) + 0.5) * resolution
+        v = F.when(~F.isnan(v), (F.floor(v / resolution) + 0.5) * resolution)
     return df.select(*by, v.alias("value")).where("value is not null and not isnan(value)").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"))
 
 
