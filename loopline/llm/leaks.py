@@ -83,56 +83,68 @@ def grams(text: str, q: int) -> np.ndarray:
     return code * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def aligned(doc: list[str], item: list[str], diagonal: int, rules: Rules, used: set[int]) -> list[tuple[int, int]]:
-    """Item words and document words matched by the best local alignment within ``reach`` of a word diagonal.
+def aligned(places: dict[str, list[int]], item: list[str], band: tuple[int, int, int], rules: Rules, used: set[int]) -> list[int]:
+    """Item words matched by the best local alignment within ``reach`` of a word diagonal.
 
-    Item words in ``used`` are not matched again. Empty if the best stretch is too short.
+    ``places`` lists where each word stands in the document; ``band`` is the diagonal and the
+    first and last item word to look at. Item words in ``used`` are not matched again. Only
+    cells with a positive score are kept, row by row. Empty if the best stretch is too short.
     """
-    n, w, p, size = len(item), rules.reach, rules.penalty, len(doc)
+    (diagonal, low, high), w, p = band, rules.reach, rules.penalty
+    low, high = max(0, low), min(len(item), high + 1)
     width = 2 * w + 1
-    last = [0] * (width + 1)
-    trace: list[list[int]] = []
-    best, at = 0, (-1, -1)
-    for i in range(n):
-        row, back, word, free = [0] * (width + 1), [0] * width, item[i], i not in used
-        j = i + diagonal - w
-        for k in range(max(0, -j), min(width, size - j)):
-            same = free and doc[j + k] == word
-            if not same and last[k] <= p and last[k + 1] <= p and (not k or row[k - 1] <= p):
-                continue
-            s, b = (last[k] + 1, 1) if same else (last[k] - p, 1)
-            if last[k + 1] - p > s:
-                s, b = last[k + 1] - p, 2
-            if k and row[k - 1] - p > s:
-                s, b = row[k - 1] - p, 3
-            if s > 0:
-                row[k], back[k] = s, b
-                if s > best:
-                    best, at = s, (i, k)
+    last: dict[int, int] = {}
+    trace: list[dict[int, int]] = []
+    best, at = 0, (low - 1, 0)
+    for i in range(low, high):
+        row: dict[int, int] = {}
+        back: dict[int, int] = {}
+        for k, v in last.items():
+            if v > p:
+                if row.get(k, 0) < v - p:
+                    row[k], back[k] = v - p, 1
+                if k and row.get(k - 1, 0) < v - p:
+                    row[k - 1], back[k - 1] = v - p, 2
+        if i not in used:
+            first = i + diagonal - w
+            for j in places.get(item[i], ()):
+                k = j - first
+                if 0 <= k < width and row.get(k, 0) <= last.get(k, 0) + 1:
+                    row[k], back[k] = last.get(k, 0) + 1, 0
+        for k in sorted(row):
+            v = row[k] - p
+            while v > 0 and k + 1 < width and row.get(k + 1, 0) < v:
+                k += 1
+                row[k], back[k] = v, 3
+                v -= p
+        for k, v in row.items():
+            if v > best:
+                best, at = v, (i, k)
         trace.append(back)
         last = row
     i, k = at
-    out: list[tuple[int, int]] = []
-    while i >= 0 and 0 <= k < width and trace[i][k]:
-        j = i + diagonal - w + k
-        b = trace[i][k]
-        if b == 1:
-            if i not in used and doc[j] == item[i]:
-                out.append((i, j))
-            i -= 1
-        elif b == 2:
-            i, k = i - 1, k + 1
-        else:
+    out: list[int] = []
+    while i >= low and k in trace[i - low]:
+        b = trace[i - low][k]
+        if b == 0:
+            out.append(i)
+        if b == 3:
             k -= 1
+        else:
+            i, k = i - 1, k + (b == 2)
     return out if len(out) >= rules.stretch else []
 
 
-def leaked_words(doc: list[str], item: list[str], diagonals: list[int], rules: Rules) -> int:
-    """Words of an item that a document holds in long enough stretches near the given word diagonals."""
+def leaked_words(doc: list[str], item: list[str], bands: list[tuple[int, int, int]], rules: Rules) -> int:
+    """Words of an item that a document holds in long enough stretches in the given bands."""
     used: set[int] = set()
-    for d in diagonals:
-        while got := aligned(doc, item, d, rules, used):
-            used.update(i for i, _ in got)
+    wanted, places = set(item), {}
+    for j, word in enumerate(doc):
+        if word in wanted:
+            places.setdefault(word, []).append(j)
+    for band in bands:
+        while got := aligned(places, item, band, rules, used):
+            used.update(got)
     return len(used)
 
 
@@ -183,15 +195,17 @@ def scan(texts: list[str | None], index: Items) -> list[tuple[int, int, int]]:
     for lo, hi in zip(cuts, np.append(cuts[1:], len(cand))):
         t, k = int(cand[lo]) // n_items, int(cand[lo]) % n_items
         starts = np.cumsum([0] + [len(x) + 1 for x in words[t][:-1]])
-        line = np.searchsorted(starts, d_at[lo:hi], side="right") - np.searchsorted(index.starts[k], i_at[lo:hi], side="right")
+        item_word = np.searchsorted(index.starts[k], i_at[lo:hi], side="right")
+        line = np.searchsorted(starts, d_at[lo:hi], side="right") - item_word
         lines, votes = np.unique(line, return_counts=True)
         taken, covered = [], set()
         for x in lines[np.argsort(-votes, kind="stable")].tolist():
-            if all(abs(x - y) > r.reach // 2 for y in taken):
+            if all(abs(x - y) > r.reach // 2 for y, _, _ in taken):
                 close = np.abs(line - x) <= r.reach // 2
                 if close.sum() < index.local[k]:
                     continue
-                taken.append(x)
+                at_words = item_word[close]
+                taken.append((x, int(at_words.min()) - 1 - r.reach, int(at_words.max()) + r.reach))
                 covered.update(i_at[lo:hi][close].tolist())
         if len(covered) < index.need[k]:
             continue
