@@ -103,6 +103,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return components.components(pairs, "a", "b").select(F.col("vertex").alias("code"), F.col("component").alias("group_code"))
 
 
+def g03_union_find_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of linked codes with their size; one that holds several current codes is rejected."""
+    found = p5_found(spark, d)
+    current = table(spark, d, "station_groups").select(F.col("current_code").alias("code"), F.lit(1).alias("now")).distinct()
+    g = found.join(current, "code", "left").groupBy("group_code").agg(F.count(F.lit(1)).alias("size"), F.count("now").alias("current_codes"))
+    return g.withColumn("verdict", F.when(F.col("current_codes") > 1, "rejected").otherwise("kept"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by the byte_bpe_50k vocabulary."""
     return tokenizer.encode(table(spark, d, "documents"), ["doc_id"], "text")
@@ -123,7 +131,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_matches": p1_matches,
     "p2_found": p2_found, "p2_misses": p2_misses,
     "p4_percentiles": p4_percentiles, "p4_combined": p4_combined,
-    "p5_found": p5_found,
+    "p5_found": p5_found, "g03_union_find_groups": g03_union_find_groups,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p10_found": p10_found,
@@ -139,14 +147,18 @@ r as (select metric, station_code, v, row_number() over (partition by metric, st
 select metric, station_code, n, """ + ", ".join(f"max(v) filter (i = (n * {p} + 99) // 100) p{p}" for p in PCTS) + """
 from r group by metric, station_code, n"""
 
+_P5 = r"""
+with recursive e as (
+  select upper(trim(code_a, e' \t\r\n ')) a, upper(trim(code_b, e' \t\r\n ')) b from code_pairs
+  where verdict = 'accepted' and trim(code_a, e' \t\r\n ') <> '' and trim(code_b, e' \t\r\n ') <> ''),
+s as (select a, b from e union select b, a from e),
+r as (select a code, a seen from s union select r.code, s.b from r join s on s.a = r.seen)"""
+
 ORACLE = {
     "p4_percentiles": _P4,
     "p4_combined": _P4,
-    "p5_found": r"""
-with recursive e as (
-  select upper(trim(code_a, e' \t\r\n ')) a, upper(trim(code_b, e' \t\r\n ')) b from code_pairs
-  where verdict = 'accepted' and trim(code_a, e' \t\r\n ') <> '' and trim(code_b, e' \t\r\n ') <> ''),
-s as (select a, b from e union select b, a from e),
-r as (select a code, a seen from s union select r.code, s.b from r join s on s.a = r.seen)
-select code, min(seen) group_code from r group by code""",
+    "p5_found": _P5 + " select code, min(seen) group_code from r group by code",
+    "g03_union_find_groups": _P5 + """, f as (select code, min(seen) g from r group by code)
+select g group_code, count(*) size, count(current_code) current_codes, case when count(current_code) > 1 then 'rejected' else 'kept' end verdict
+from f left join (select distinct current_code from station_groups) on code = current_code group by g""",
 }
