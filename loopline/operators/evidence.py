@@ -7,10 +7,11 @@ Input is long: one row for each item, field and source, with ``prio`` (1 is the
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loopline.operators.grouped import per_group
+
 STRENGTH = ["conflict", "not_checked", "single_source", "updated", "partially_confirmed", "majority", "confirmed"]
 
 
@@ -102,8 +103,8 @@ def merge_visits(rides: DataFrame, sources: list[str]) -> DataFrame:
     order of departure, others by equal departure; each ride is used once, and the first
     source in order that is left with it presents it. One train's rides are a bounded group.
     """
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        per = {s: sorted(g["dep"]) for s, g in pdf.groupby("source")}
+    def merge(train: str, group: list[dict]) -> list[tuple]:
+        per = {s: sorted(r["dep"] for r in group if r["source"] == s) for s in {r["source"] for r in group}}
         used: dict[str, set[int]] = {s: set() for s in per}
         rows = []
         for s in sources:
@@ -122,15 +123,13 @@ def merge_visits(rides: DataFrame, sources: list[str]) -> DataFrame:
                         matched.append(o)
                     else:
                         missing.append(o)
-                rows.append((pdf["train_number"].iloc[0], s, visit, dep, matched, missing))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in MERGED.split(", ")])
+                rows.append((train, s, visit, dep, matched, missing))
+        return rows
 
-    return rides.where(F.col("source").isin(sources)).groupBy("train_number").applyInPandas(merge, MERGED)
+    return per_group(rides.where(F.col("source").isin(sources)).select("train_number", "source", "dep"), "train_number", merge, MERGED)
 
 
 def copied_positions(positions: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``counted``: false for a position identical to one of higher priority, which is a copy and no evidence."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys, "lat", "lon").orderBy("prio")
     return positions.withColumn("counted", F.row_number().over(w) == 1)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from itertools import permutations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopline.functions import clock
+from loopline.operators.grouped import per_group
 from loopline.operators.nearby import haversine_km
 
 
@@ -78,29 +78,30 @@ def segment_offsets(segments: DataFrame, links: DataFrame) -> DataFrame:
         links.select("train_number", F.col("a").cast("bigint"), F.col("b").cast("bigint"), F.col("offset").cast("int"))
     )
 
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted({int(x) for x in pdf["a"]} | {int(x) for x in pdf["b"].dropna()})
+    def spread(train: str, group: list[dict]) -> list[tuple]:
+        nodes = sorted({r[c] for r in group for c in ("a", "b") if r[c] is not None})
         near: dict[int, list[tuple[int, int]]] = {n: [] for n in nodes}
-        for a, b, o in pdf.dropna(subset=["b"])[["a", "b", "offset"]].itertuples(index=False):
-            near[int(a)].append((int(b), int(o)))
-            near[int(b)].append((int(a), -int(o)))
-        at: dict[int, tuple[int, int]] = {}
+        for r in group:
+            if r["b"] is not None:
+                near[r["a"]].append((r["b"], r["offset"]))
+                near[r["b"]].append((r["a"], -r["offset"]))
+        at: dict[int, int] = {}
         out = []
         for root in nodes:
             if root in at:
                 continue
-            at[root], queue, clash = (root, 0), [root], False
+            at[root], queue, clash = 0, [root], False
             for n in queue:
                 for m, o in sorted(near[n]):
                     if m not in at:
-                        at[m] = (root, at[n][1] + o)
+                        at[m] = at[n] + o
                         queue.append(m)
-                    elif at[m][1] != at[n][1] + o:
+                    elif at[m] != at[n] + o:
                         clash = True
-            out += [(pdf["train_number"].iloc[0], n, root, at[n][1], clash) for n in queue]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in OFFSETS.split(", ")])
+            out += [(train, n, root, at[n], clash) for n in queue]
+        return out
 
-    return rows.groupBy("train_number").applyInPandas(spread, OFFSETS)
+    return per_group(rows, "train_number", spread, OFFSETS)
 
 
 def merged_events(events: DataFrame, key: str, place: str, gap: int = 360) -> DataFrame:
@@ -135,8 +136,8 @@ def chain_parts(parts: DataFrame, gap: int = 720) -> DataFrame:
     clock, and neither has another such neighbour. Parts of a ring stay alone. One train's
     parts are a bounded group.
     """
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("part").to_dict("records")
+    def chain(train: str, group: list[dict]) -> list[tuple]:
+        rows = sorted(group, key=lambda r: r["part"])
         after: dict[int, list[int]] = {r["part"]: [] for r in rows}
         before: dict[int, list[int]] = {r["part"]: [] for r in rows}
         for a in rows:
@@ -152,13 +153,12 @@ def chain_parts(parts: DataFrame, gap: int = 720) -> DataFrame:
                 continue
             while p is not None and p not in seen:
                 seen.add(p)
-                out.append((r["train_number"], p, r["part"], n))
+                out.append((train, p, r["part"], n))
                 p, n = follow.get(p), n + 1
         done = {o[1] for o in out}
-        out += [(r["train_number"], r["part"], r["part"], 0) for r in rows if r["part"] not in done]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in CHAINS.split(", ")])
+        return out + [(train, r["part"], r["part"], 0) for r in rows if r["part"] not in done]
 
-    return parts.groupBy("train_number").applyInPandas(chain, CHAINS)
+    return per_group(parts.select("train_number", "part", "first_code", "last_code", "first_at", "last_at"), "train_number", chain, CHAINS)
 
 
 def choose_by_detour(gaps: DataFrame, candidates: DataFrame, positions: DataFrame, support: DataFrame, margin_km: float = 10.0) -> DataFrame:
