@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loopline.functions import clock, text
 
+#: Fixed format: a timetable file of positional rows.
 TIMETABLE = (
     "meta map<string,string>, stations array<array<string>>, trains array<struct<n:string,name:string,type:string,classes:array<string>,"
     "days:array<string>,dist:int,stops:array<array<string>>,warnings:array<string>,valid:struct<`from`:string,`to`:string>>>"
@@ -108,6 +109,7 @@ def html_rows(df: DataFrame, key: str, html: str) -> DataFrame:
     return r.select(key, "n", F.transform(cells, text.cell_text).alias("cells"))
 
 
+#: The header of a page of average delays.
 AVERAGE_HEADER = ["Sr.", "Station", "Code", "Avg. Arr. Delay", "Avg. Dep. Delay"]
 
 
@@ -141,6 +143,7 @@ def run_history(df: DataFrame, key: str, html: str) -> DataFrame:
     return out.select(key, "run_date", "idx", F.get("codes", F.col("idx")).alias("station_code"), F.trim("v").try_cast("double").cast("int").alias("delay")).where("delay is not null")
 
 
+#: Fixed format: a delay answer.
 DELAY_JSON = (
     "success boolean, data struct<trainNumber:string, route:array<struct<sequence:int,stationCode:string,stationName:string,arrivalDelayMinutes:int,"
     "departureDelayMinutes:int,scheduledArrival:string,scheduledDeparture:string>>>"
@@ -164,6 +167,7 @@ def delay_answers(df: DataFrame, key: str, body: str) -> DataFrame:
     )
 
 
+#: Fixed format: a train-search answer.
 SEARCH_JSON = (
     "data struct<errorCode:int,errorMessage:string,trainList:array<struct<trainNumber:string,trainName:string,fromStnCode:string,toStnCode:string,"
     "departureTime:string,arrivalTime:string,duration:int,distance:double,runningDays:string,avlClasses:array<string>>>>, error struct<code:string,message:string>"
@@ -183,6 +187,7 @@ def search_answers(df: DataFrame, key: str, body: str) -> DataFrame:
     )
 
 
+#: Fixed format: a schedule answer.
 SCHEDULE_JSON = (
     "TrainName string, TrainNo string, DaysOfRun map<string,boolean>, ErrorMsg string, Classes array<string>, "
     "Schedule array<struct<StationCode:string,StationName:string,ArrivalTime:string,DepartureTime:string,Distance:string,Day:int>>"
