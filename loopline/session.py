@@ -40,12 +40,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_stage(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`stage` that nothing reads any more."""
+    """Delete the files of a table made by :func:`stage` that nothing reads any more; other tables are left alone."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        if f.startswith(shared_dir(spark).split("://")[0]) or "loopline" in f or shared_dir(spark) in f:
-            p = jvm.org.apache.hadoop.fs.Path(f)
+    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath()
+    for folder in {os.path.dirname(x) for x in df.inputFiles()}:
+        p = jvm.org.apache.hadoop.fs.Path(folder)
+        if p.getParent().toUri().getPath().rstrip("/") == root.rstrip("/"):
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
