@@ -81,6 +81,17 @@ def test_match(spark):
     assert sorted((r["id_a"], r["id_b"]) for r in twice.collect()) == [(2, 107), (9, 107)]
 
 
+def test_misspelt_copy_is_no_rival(spark):
+    """A station listed twice keeps both rows beside the very name; a like name elsewhere or of another qualifier is dropped."""
+    left = [
+        (1, "AA", "Kuljeduvpur", "Narmesh", "20.0", "75.0", None), (2, "AB", "Kujleduvpur", "Narmesh", "20.003", "75.0", None),
+        (3, "AC", "Kujleduvpur Road", "Narmesh", "20.004", "75.0", None), (4, "AD", "Kujleduvpur", "Narmesh", "20.02", "75.0", None),
+    ]
+    b = spark.createDataFrame([(101, None, "Kuljeduvpur", "Narmesh", "20.001", "75.001", None)], REC)
+    got = sorted((r["id_a"], r["id_b"]) for r in matching.match(spark.createDataFrame(left, REC), b, BOX).collect())
+    assert got == [(1, 101), (2, 101)]
+
+
 def test_candidates_hold_every_close_vector(spark):
     """Multi-index hashing finds all pairs within the guaranteed distance, against brute force."""
     rnd = random.Random(3)
