@@ -108,6 +108,28 @@ def test_candidates_hold_every_close_vector(spark):
     assert want and want <= got
 
 
+def test_candidates_hold_every_like_name_without_position(spark):
+    """Names within SLIPS edits are found where a position is missing, against brute force."""
+    rnd = random.Random(5)
+    syl = ["kad", "mil", "pur", "gom", "tib", "lur", "gen", "nor", "sal", "vek"]
+
+    def slip(n):
+        k, c = rnd.randrange(len(n) - 1), rnd.choice("abdegiklmnoprstuv")
+        return rnd.choice([n[:k] + n[k + 1 :], n[:k] + c + n[k:], n[:k] + c + n[k + 1 :]])
+
+    names = ["".join(rnd.choice(syl) for _ in range(4)) for _ in range(60)]
+    placed = lambda i: ("20.0", "75.0") if i % 2 else (None, None)
+    rows = [(i, None, n, "Narmesh", *placed(i), None) for i, n in enumerate(names)]
+    noisy = [(1000 + i, None, slip(slip(slip(n))), "Narmesh", *placed(i + 1), None) for i, n in enumerate(names)]
+    a, _ = matching.profiles(matching.encode(spark.createDataFrame(rows, REC), BOX, 1.7))
+    b, _ = matching.profiles(matching.encode(spark.createDataFrame(noisy, REC), BOX, 1.7))
+    pairs = a.crossJoin(b.select(*[F.col(c).alias(f"b_{c}") for c in ("p", "base", "qualifier", "lat")]))
+    like = pairs.where((F.levenshtein("base", "b_base") <= matching.SLIPS) & (F.col("qualifier") == F.col("b_qualifier")) & (F.col("lat").isNull() | F.col("b_lat").isNull()))
+    want = {(r["p"], r["b_p"]) for r in like.collect()}
+    got = {(r["pa"], r["pb"]) for r in matching.candidates(a, b).collect()}
+    assert len(want) >= 40 and want <= got
+
+
 def test_calibrate_is_monotone():
     odds, same, other = matching.calibrate([(-5.0, 1000, 0), (0.0, 100, 20), (1.0, 100, 10), (5.0, 100, 60), (8.0, 1000, 600), (9.0, 10, 1)])
     assert [odds[s] for s in (-5.0, 0.0, 1.0, 5.0, 8.0)] == sorted(odds[s] for s in (-5.0, 0.0, 1.0, 5.0, 8.0))
