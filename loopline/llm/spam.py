@@ -1,10 +1,13 @@
 """Pages of repeated keywords, links or tags instead of sentences, judged by line shapes.
 
 Each line is reduced to a shape: links, tags, numbers, capitalised and other words become one
-letter each, runs collapse, separators stay. The lines of a page are grouped by shape, and a
-group counts against the page when its shape is no sentence and no record (a line led or
-ended by numbers, as in timetables, lists of places and logs) but a list of links, tags or
-offers, or words that keep repeating. A page is flagged when such groups hold most of its text.
+letter each, runs collapse, separators stay. The lines of a page are grouped by shape. A group
+of several lines counts against the page as a whole when its words and numbers keep repeating
+over all its lines, unless its shape is a record: machine data in braces, or led or ended by
+numbers that change from line to line, as in timetables, lists of places and logs. Groups of
+sentences must repeat more than others, as notices share their wording. The lines of other groups
+are judged one by one as lists of links, tags or offers, or words that keep repeating. A page
+is flagged when such groups and lines hold most of its text.
 """
 
 from __future__ import annotations
@@ -48,8 +51,23 @@ def variety(words: list[str], window: int = 50) -> float:
     return sum(len(set(p)) / len(p) for p in parts) / len(parts)
 
 
-def spam_share(text: str | None, repeats: float = 0.36, list_repeats: float = 0.6) -> float:
-    """Share of a page's characters in lines that are links, tags, offers or repeated keywords."""
+def repeating(shape: str, lines: list[str], repeats: float, sentence_repeats: float) -> bool:
+    """Whether the lines of one shape are no records and say the same few words and numbers over and over."""
+    if len(lines) < 3 or shape[:1] in ("{", "["):
+        return False
+    bare = [MARKUP.sub(" ", line) for line in lines]
+    numbers = [NUMBER.findall(b) for b in bare]
+    every = [x for n in numbers for x in n]
+    ends = shape_of(lines[0])  # the group's shape may be cut
+    if "9" in (ends[:1], ends[-1:]) and 2 * len(set(every)) >= len(every):
+        return False
+    words = [w for b, n in zip(bare, numbers) for w in [*(x.lower() for x in WORD.findall(b)), *n]]
+    sentences = 2 * sum(bool(SENTENCE_END.search(b)) for b in bare) >= len(bare)
+    return len(words) >= 12 and variety(words) < (sentence_repeats if sentences else repeats)
+
+
+def spam_share(text: str | None, repeats: float = 0.36, list_repeats: float = 0.6, sentence_repeats: float = 0.25) -> float:
+    """Share of a page's characters in groups and lines that are links, tags, offers or repeated keywords."""
     if not text:
         return 0.0
     groups: dict[str, list[str]] = defaultdict(list)
@@ -61,6 +79,9 @@ def spam_share(text: str | None, repeats: float = 0.36, list_repeats: float = 0.
             total += len(line)
             groups[shape_of(line)[:24]].append(line)
     for shape, lines in groups.items():
+        if repeating(shape, lines, repeats, sentence_repeats):
+            bad += sum(map(len, lines))
+            continue
         for line in lines:
             n, bare = len(line), MARKUP.sub(" ", line)
             links = LINK.findall(bare if "](" in bare or "<" not in line else line)

@@ -262,6 +262,17 @@ def test_spam(spark):
     assert spam.find_spam(df.limit(0), "id", "text").count() == 0
 
 
+@pytest.mark.parametrize("page, spam_page", [
+    ("Cheap rail tickets 2024, best rail tickets 2024\n" * 200, True), ("Buy cheap rail tickets!\n" * 40, True),
+    ("".join(f"Book {a} Rail {b} Today 24\n" for a in ("Cheap", "Best") for b in ("Tickets", "Passes")) * 10, True),
+    ("".join(f"Train 10{i * 37:05d} will not stop at Dollimar Junction until further notice.\n" for i in range(9)), False),
+    ("".join(f"2026-01-01 12:{i:02d} poller heartbeat\n" for i in range(40)), False), ('{"a": 1, "b": "X"}\n' * 20, False), (RECORDS, False),
+])
+def test_dominating_shapes(page, spam_page):
+    """Few shapes whose words repeat over their lines flag a page; notices, logs and records do not."""
+    assert (spam.spam_share(page) > 0.5) == spam_page
+
+
 def test_shapes():
     assert spam.shape_of("12:15  Alpha Beta, km 7") == "9 A, a 9"
     assert spam.shape_of("see https://x.test/a <b>x</b> #tag #two") == "a L a #"
