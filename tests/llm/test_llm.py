@@ -130,6 +130,14 @@ def test_candidates_hold_every_like_name_without_position(spark):
     assert len(want) >= 40 and want <= got
 
 
+def test_other_qualifiers_are_candidates_without_position(spark):
+    """Like names of a state meet whatever their qualifiers, so that an equal code is weighed with a calibrated score."""
+    a = spark.createDataFrame([(1, "AA", "Kadmilpur Road", "Narmesh", None, None, None), (2, None, "Gomtibandh Halt", None, None, None, None)], REC)
+    b = spark.createDataFrame([(101, "AA", "Kadmilpur", "NAR", None, None, None), (102, None, "Gomtibandh", "Belmor", "20.0", "75.0", None)], REC)
+    a, b = matching.profiles(matching.encode(a, BOX, 1.7))[0], matching.profiles(matching.encode(b, BOX, 1.7))[0]
+    assert {(r["pa"], r["pb"], r["by_code"]) for r in matching.candidates(a, b).collect()} >= {(1, 101, False), (2, 102, False)}
+
+
 def test_calibrate_is_monotone():
     odds, same, other = matching.calibrate([(-5.0, 1000, 0), (0.0, 100, 20), (1.0, 100, 10), (5.0, 100, 60), (8.0, 1000, 600), (9.0, 10, 1)])
     assert [odds[s] for s in (-5.0, 0.0, 1.0, 5.0, 8.0)] == sorted(odds[s] for s in (-5.0, 0.0, 1.0, 5.0, 8.0))
