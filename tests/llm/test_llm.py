@@ -130,6 +130,18 @@ def test_candidates_hold_every_like_name_without_position(spark):
     assert len(want) >= 40 and want <= got
 
 
+def test_candidates_in_a_cell_hold_every_distance_of_like_names(spark):
+    """Inside a map cell all pairs up to 15 bits apart are found, which SLIPS edits of up to 4 bits cannot exceed."""
+    rnd = random.Random(4)
+    names = ["".join(rnd.choice(["kad", "mil", "pur", "gom", "tib", "lur"]) for _ in range(4)) for _ in range(60)]
+    rows = [(i, None, n, "Narmesh", "20.0", "75.0", None) for i, n in enumerate(names)]
+    a, _ = matching.profiles(matching.encode(spark.createDataFrame(rows, REC), BOX, 1.7))
+    b, _ = matching.profiles(matching.encode(spark.createDataFrame([(1000 + r[0], *r[1:]) for r in rows], REC), BOX, 1.7))
+    vec = lambda r: (r["n1"] & (1 << 64) - 1) << 64 | (r["n0"] & (1 << 64) - 1)
+    want = {(x["p"], y["p"]) for x in a.collect() for y in b.collect() if bin(vec(x) ^ vec(y)).count("1") <= 15}
+    assert want and want <= {(r["pa"], r["pb"]) for r in matching.candidates(a, b).collect()}
+
+
 def test_other_qualifiers_are_candidates_without_position(spark):
     """Like names of a state meet whatever their qualifiers, so that an equal code is weighed with a calibrated score."""
     a = spark.createDataFrame([(1, "AA", "Kadmilpur Road", "Narmesh", None, None, None), (2, None, "Gomtibandh Halt", None, None, None, None)], REC)
