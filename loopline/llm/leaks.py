@@ -25,8 +25,9 @@ WORD = re.compile(r"[^\W_]+")
 
 
 class Rules(NamedTuple):
-    """What counts as a leak: ``words`` matched in stretches of at least ``stretch`` words, in which
-    a changed, missing or extra word costs ``penalty`` matched ones."""
+    """What counts as a leak: ``words`` spanned by stretches, at least the share ``least`` of them
+    matched. Stretches have at least ``stretch`` matched words, or ``piece`` where up to three
+    follow one another in the item; inside one a changed, missing or extra word costs ``penalty`` matched ones."""
 
     words: int = 20
     stretch: int = 10
@@ -34,6 +35,8 @@ class Rules(NamedTuple):
     q: int = 8
     band: int = 64
     reach: int = 12
+    piece: int = 7
+    least: float = 0.85
 
 
 class Items:
@@ -53,10 +56,10 @@ class Items:
             pos.append(np.arange(len(c)))
             ends = np.array([x + len(y) for x, y in zip(starts, w)], dtype=np.int64)
             # the lemma's bounds for the shortest passage, a tenth of its words changed and cut in
-            # three stretches, and for the shortest stretch, one word in it changed
-            span = [int((ends[n - 1 :] - np.asarray(starts)[: len(w) - n + 1]).min()) if len(w) >= n else 1 << 30 for n in (rules.words, rules.stretch)]
+            # three stretches, and for the shortest stretch, one word in it changed, or piece, none changed
+            span = [int((ends[n - 1 :] - np.asarray(starts)[: len(w) - n + 1]).min()) if len(w) >= n else 1 << 30 for n in (rules.words, rules.stretch, rules.piece)]
             need.append(max(rules.q, span[0] + 1 - rules.q * (rules.words // 10 + 3)))
-            local.append(max(rules.q, span[1] + 1 - 2 * rules.q))
+            local.append(max(rules.q, min(span[1] + 1 - 2 * rules.q, span[2] + 1 - rules.q)))
         codes_ = np.concatenate(codes) if codes else np.zeros(0, dtype=np.uint64)
         order = np.argsort(codes_, kind="stable")
         self.codes, first = np.unique(codes_[order], return_index=True)
@@ -83,8 +86,8 @@ def grams(text: str, q: int) -> np.ndarray:
     return code * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def aligned(places: dict[str, list[int]], item: list[str], band: tuple[int, int, int], rules: Rules, used: set[int]) -> list[int]:
-    """Item words matched by the best local alignment within ``reach`` of a word diagonal.
+def aligned(places: dict[str, list[int]], item: list[str], band: tuple[int, int, int], rules: Rules, used: set[int]) -> list[tuple[int, int]]:
+    """Item words and the document words they match, ascending, in the best local alignment within ``reach`` of a word diagonal.
 
     ``places`` lists where each word stands in the document; ``band`` is the diagonal and the
     first and last item word to look at. Item words in ``used`` are not matched again. Only
@@ -123,29 +126,65 @@ def aligned(places: dict[str, list[int]], item: list[str], band: tuple[int, int,
         trace.append(back)
         last = row
     i, k = at
-    out: list[int] = []
+    out: list[tuple[int, int]] = []
     while i >= low and k in trace[i - low]:
         b = trace[i - low][k]
         if b == 0:
-            out.append(i)
+            out.append((i, i + diagonal - w + k))
         if b == 3:
             k -= 1
         else:
             i, k = i - 1, k + (b == 2)
-    return out if len(out) >= rules.stretch else []
+    return out[::-1] if len(out) >= rules.piece else []
+
+
+def beyond(doc: list[str], item: list[str], at: tuple[int, int], step: int, used: set[int], most: int) -> list[tuple[int, int]]:
+    """Up to ``most`` matches past one changed, missing or extra word at an end of a stretch, too few to pay its penalty."""
+    for di, dj in ((2, 2), (2, 1), (1, 2)):
+        i, j = at[0] + step * di, at[1] + step * dj
+        out: list[tuple[int, int]] = []
+        while 0 <= i < len(item) and 0 <= j < len(doc) and len(out) < most and item[i] == doc[j] and i not in used:
+            out.append((i, j))
+            i, j = i + step, j + step
+        if out:
+            return out
+    return []
 
 
 def leaked_words(doc: list[str], item: list[str], bands: list[tuple[int, int, int]], rules: Rules) -> int:
-    """Words of an item that a document holds in long enough stretches in the given bands."""
+    """Words of an item, changed ones included, that a document holds in long enough stretches in the given bands."""
     used: set[int] = set()
     wanted, places = set(item), {}
     for j, word in enumerate(doc):
         if word in wanted:
             places.setdefault(word, []).append(j)
+    found: list[list[tuple[int, int]]] = []
     for band in bands:
         while got := aligned(places, item, band, rules, used):
-            used.update(got)
-    return len(used)
+            used.update(i for i, _ in got)
+            found.append(got)
+    best = 0
+    long = [s for s in found if len(s) >= rules.stretch]
+    # shorter stretches must follow one another in the item: scattered ones are shared wording
+    runs: list[list[list[tuple[int, int]]]] = [long]
+    follows = lambda s, o: 0 < o[0][0] - s[-1][0] <= 3 and s[-1][1] < o[0][1]
+    found.sort()
+    for at, s in enumerate(found):
+        run = [s]
+        for o in found[at + 1 :]:
+            if len(run) < 3 and follows(run[-1], o):
+                run.append(o)
+        runs.append(run)
+    for kept in runs:
+        held: set[int] = {i for s in kept for i, _ in s}
+        spanned: set[int] = set()
+        for s in kept:
+            ends = beyond(doc, item, s[0], -1, held, rules.penalty) + s + beyond(doc, item, s[-1], 1, held, rules.penalty)
+            inside = [i for i, _ in ends]
+            held.update(inside)
+            spanned.update(range(min(inside), max(inside) + 1))
+        best = max(best, len(held), len(spanned) if len(held) >= rules.least * len(spanned) else 0)
+    return best
 
 
 def scan(texts: list[str | None], index: Items) -> list[tuple[int, int, int]]:
@@ -221,9 +260,9 @@ def find_leaks(
 ) -> DataFrame:
     """Columns ``key``, ``item_key``, ``words``: every document holding a passage of an item.
 
-    A passage is at least ``rules.words`` words of the item in their order, in stretches of at
-    least ``rules.stretch`` words, whatever the case, blanks and punctuation, about one word in
-    ten changed. Null and empty texts on either side and items with fewer words match nothing;
+    A passage is at least ``rules.words`` words of the item in their order, changed ones
+    included, in stretches of at least ``rules.stretch`` words or up to three of ``rules.piece``
+    that follow one another in the item, whatever the case, blanks and punctuation, about one word in ten changed. Null and empty texts on either side and items with fewer words match nothing;
     repeated documents and items each count. Integer keys; other columns play no part. Items
     are indexed in blocks of at most about ``block_chars`` characters, which bounds what is
     broadcast: more items mean more passes over the corpus, none is left out. Documents are

@@ -260,6 +260,22 @@ def test_leaks(spark):
     assert leaks.find_leaks(c, "doc", "text", i.limit(0), "item", "text").count() == 0
 
 
+def test_leaks_count_changed_words_and_short_stretches():
+    """20 words with two changed, also near the ends, and 21 words in three stretches are leaks; a dozen words and 18 are none."""
+    rnd = random.Random(12)
+    item, noise = words(rnd, 60), words(rnd, 40)
+    change = lambda at: [w if k not in at else "changed" for k, w in enumerate(item[10:30])]
+    cases = [
+        (noise + change({6, 13}) + noise, True), (noise + change({2, 17}) + noise, True),
+        (noise + item[5:12] + noise[:9] + item[12:19] + noise[9:18] + item[19:26] + noise, True),
+        (noise + item[19:26] + noise[:9] + item[12:19] + noise[9:18] + item[5:12] + noise, False),
+        (noise + item[5:12] + noise[:9] + item[20:27] + noise[9:18] + item[40:47] + noise, False),
+        (noise + item[10:22] + noise, False), (noise + item[10:28] + noise, False),
+    ]
+    index = leaks.Items([(0, " ".join(item))], leaks.Rules())
+    assert [bool(leaks.scan([" ".join(d)], index)) for d, _ in cases] == [want for _, want in cases]
+
+
 # ---- spam ------------------------------------------------------------------
 
 SENTENCES = "The evening train left at nine. Nobody knew why it waited near the mill, but the guard waved a flag. We drank tea and looked out.\n"
