@@ -288,7 +288,8 @@ SPAM = {
     "list": "\n".join(f"train booking {chr(65 + i)}alpur to {chr(66 + i)}obandh" for i in range(20)),
     "mixed": SENTENCES + "cheap ticket best price cheap hotel ticket best cheap price hotel offer " * 12,
 }
-FINE = {"text": SENTENCES * 5, "records": RECORDS, "ends": SENTENCES * 5 + "See also: https://a.test/x https://b.test/y", "json": '{"a": 1, "b": "X"}\n' * 20, "none": None, "empty": "", "blank": " \n \n", "long": SENTENCES * 3000}
+FINE = {"text": SENTENCES * 5, "records": RECORDS, "ends": SENTENCES * 5 + "See also: https://a.test/x https://b.test/y", "json": '{"a": 1, "b": "X"}\n' * 20, "none": None, "empty": "", "blank": " \n \n", "long": SENTENCES * 3000, "one line": SENTENCES.strip() * 3000}
+SPAM |= {"long list": "cheap ticket, " * 50_000, "long soup": "cheap ticket " * 50_000, "long dots": "a.b." * 50_000 + " " + "cheap ticket " * 50_000}
 
 
 def test_spam(spark):
@@ -304,11 +305,32 @@ def test_spam(spark):
     ("".join(f"Train 10{i * 37:05d} will not stop at Dollimar Junction until further notice.\n" for i in range(9)), False),
     ("".join(f"2026-01-01 12:{i:02d} poller heartbeat\n" for i in range(40)), False), ('{"a": 1, "b": "X"}\n' * 20, False), (RECORDS, False),
 ])
-def test_dominating_shapes(page, spam_page):
+def test_dominating_shapes(spark, page, spam_page):
     """Few shapes whose words repeat over their lines flag a page; notices, logs and records do not."""
-    assert (spam.spam_share(page) > 0.5) == spam_page
+    df = spark.createDataFrame([(page,)], "t string")
+    assert (spam.spam_share(df, "t").first()["share"] > 0.5) == spam_page
 
 
-def test_shapes():
-    assert spam.shape_of("12:15  Alpha Beta, km 7") == "9 A, a 9"
-    assert spam.shape_of("see https://x.test/a <b>x</b> #tag #two") == "a L a #"
+def test_shapes(spark):
+    cases = {
+        "12:15  Alpha Beta, km 7": "9 A,a 9", "see https://x.test/a <b>x</b> #tag #two": "a L a #", "Deal mug | SKU 77 | 3.00 | Buy now": "a|A 9|9|a",
+        "best price, Cheap hotel, ticket, best, offer, mug": "&", '<li><a href="https://a.test">Best price</a></li>': " La ", "": "",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string").withColumn("tokens", spam.tokens_of(F.col("t"))[0])
+    got = [r["s"] for r in df.withColumn("s", spam.shape_of(F.col("tokens"))).orderBy("i").collect()]
+    assert got == list(cases.values())
+
+
+def test_shapes_decide(spark, monkeypatch):
+    """With one shape for all lines the pages of labels and links are no longer found."""
+    df = spark.createDataFrame([(k, SPAM[k]) for k in ("links", "tags", "products")], "id string, text string")
+    assert spam.find_spam(df, "id", "text").count() == 3
+    monkeypatch.setattr(spam, "shape_of", lambda tokens: F.regexp_replace(tokens, r"[^\n]+", "a."))
+    monkeypatch.setattr(spam, "_lines", lambda rules, real=spam._lines: real(rules).replace("l.t", "l.s"))
+    assert spam.find_spam(df, "id", "text").count() == 0
+
+
+def test_spam_windows_are_not_mixed_by_clashing_names(spark):
+    names = ["plain", "tokens", "bare", "lines", "groups", "judged", "share", "p", "t", "s", "w", "k"]
+    df = spark.createDataFrame([("a", SPAM["tags"], *names)], ", ".join(f"{c} string" for c in ["doc", "text", *names]))
+    assert [r["doc"] for r in spam.find_spam(df, "doc", "text").collect()] == ["a"]
