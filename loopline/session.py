@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,13 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate results that all executors share.
+    """The folder for intermediate results that all executors share, named by ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset, as in
-    local tests, a temporary folder of this machine is made and set for the session.
+    Where that is unset a session on this machine alone, as in tests, gets a temporary folder;
+    on a cluster, whose executors could not see each other's files there, it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.loopline.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[(\*|\d+)(,\s*\d+)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loopline-")
         spark.conf.set("spark.loopline.dir", found)
     return found
@@ -50,11 +53,11 @@ def drop_stage(df: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Round-robin ``df`` over all cores when its scan has fewer tasks than there are cores.
+def spread(df: DataFrame, per_core: int = 2, most: int = 64) -> DataFrame:
+    """Round-robin ``df`` over all cores when its scan has fewer tasks than cores, and fewer than ``most``.
 
     A scan of a large table has one task per file block already and is left alone, so at
-    scale this adds no shuffle; it matters for one-file tables feeding Python workers.
+    scale this adds no shuffle; it matters for tables of a few files.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * per_core) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores * per_core) if df.rdd.getNumPartitions() < min(cores, most) else df
