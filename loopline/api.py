@@ -71,16 +71,16 @@ class Timetable:
         out = near.join(calls, "code", "left").select("code", "station_name", clock.round1(F.col("d")).alias("km"), F.coalesce("calls", F.lit(0)).alias("calls"))
         return out.where(F.col("calls") >= min_calls).orderBy("km", "code").limit(limit)
 
-    def search_trains(self, query: str, limit: int = 10) -> DataFrame:
-        """Trains by the start of their number or by words of their name."""
+    def search_trains(self, query: str, limit: int = 10, today: str | None = None) -> DataFrame:
+        """Trains by the start of their number or by words of their or their terminals' names; the variant valid today, or the first."""
         q = query.strip()
-        t = self.trains.dropDuplicates(["train_number"])
+        t = tt.searchable(self.trains, self.stops, today[5:] if today else None, ["valid_from"])
         if re.fullmatch(r"\d+", q):
             hit = t.where(F.col("train_number").startswith(q))
         else:
-            name, cond = text.normalise_name(F.col("train_name")), F.lit(bool(q))
+            cond = F.lit(bool(q))
             for w in re.sub(r"[().,'’\-/]", " ", q.lower()).split():
-                cond = cond & name.contains(text.ABBREVIATIONS.get(w, w))
+                cond = cond & F.col("search_name").contains(text.ABBREVIATIONS.get(w, w))
             hit = t.where(cond)
         return hit.select("train_number", "train_name", "train_type", "classes", "days").orderBy("train_number").limit(limit)
 

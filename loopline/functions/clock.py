@@ -180,11 +180,15 @@ def printed_clock(text: Column) -> Column:
 
 
 def signed_delay(text: Column) -> Column:
-    """Minutes of ``hh:mm`` with an optional minus; ``On Time`` is 0, blank null, other text null."""
+    """Minutes of ``h:mm`` to ``hhh:mm`` with an optional minus; ``On Time`` is 0, blank and ``-`` null, other text an error."""
     t = F.trim(text)
-    shape = r"^(-?)(\d{1,2}):(\d{2})$"
+    shape = r"^(-?)(\d{1,3}):([0-5]\d)$"
     size = F.regexp_extract(t, shape, 2).try_cast("int") * 60 + F.regexp_extract(t, shape, 3).try_cast("int")
-    return F.when(F.lower(t) == "on time", 0).when(t.rlike(shape), F.when(F.regexp_extract(t, shape, 1) == "-", -size).otherwise(size))
+    bad = F.raise_error(F.concat(F.lit("unrecognised delay: "), t)).cast("int")
+    return (
+        F.when(t.isNull() | t.isin("", "-"), F.lit(None).cast("int")).when(F.lower(t) == "on time", 0)
+        .when(t.rlike(shape), F.when(F.regexp_extract(t, shape, 1) == "-", -size).otherwise(size)).otherwise(bad)
+    )
 
 
 def halt(arr: Column, dep: Column, longest: int = 720) -> Column:

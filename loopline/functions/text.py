@@ -10,14 +10,15 @@ from loopline.functions.clock import WEEKDAYS
 #: Abbreviations used when names are compared.
 ABBREVIATIONS = {"junction": "jn", "cantonment": "cantt", "terminus": "t", "terminal": "t", "road": "rd"}
 
-#: Class codes in their fixed order.
-CLASS_ORDER = ["1A", "2A", "3A", "3E", "EC", "CC", "FC", "SL", "2S"]
+#: Class codes in their fixed order, how they are printed, and printed codes that are no class.
+CLASS_ORDER = ["1A", "2A", "3A", "3E", "SL", "FC", "EC", "CC", "2S"]
+CLASS_FORMS = {"3A(E)": "3E", "3AE": "3E"}
+CLASSES_IGNORED = ["EV", "EA", "PC", "GEN", "GS", "II", "P"]
 
-#: Day spellings by their first letters.
+#: How weekdays are printed.
 DAY_FORMS = {
-    "MON": ["m", "mo", "mon", "monday", "1"], "TUE": ["tu", "tue", "tuesday", "2"], "WED": ["w", "we", "wed", "wednesday", "3"],
-    "THU": ["th", "thu", "thursday", "4"], "FRI": ["f", "fr", "fri", "friday", "5"], "SAT": ["sa", "sat", "saturday", "6"],
-    "SUN": ["su", "sun", "sunday", "7"],
+    "SUN": ["su", "sun"], "MON": ["m", "mo", "mon"], "TUE": ["tu", "tue"], "WED": ["w", "we", "wed"], "THU": ["th", "thu"],
+    "FRI": ["f", "fr", "fri"], "SAT": ["sa", "sat"],
 }
 
 
@@ -54,11 +55,16 @@ def name_score(code: Column, name: Column, query: str) -> Column:
 
 
 def status_category(text: Column) -> Column:
-    """available, rac, waitlist, not_available or unknown from a seat status; the part after the last slash counts."""
-    t = F.upper(F.trim(F.element_at(F.split(text, "/"), -1)))
+    """available, rac, waitlist, not_available or unknown from a seat status.
+
+    Words of refusal count anywhere in the text; else the part after the last slash decides.
+    """
+    t = F.upper(text)
+    last = F.trim(F.element_at(F.split(t, "/"), -1))
     return (
-        F.when(t.rlike("^(AVAILABLE|AVBL|CURR_AVBL)"), "available").when(t.rlike("RAC"), "rac").when(t.rlike("WL"), "waitlist")
-        .when(t.rlike("^(REGRET|NOT AVAILABLE|TRAIN CANCELLED|TRAIN DEPARTED|CLASS NOT EXIST)"), "not_available").otherwise("unknown")
+        F.when(t.rlike("REGRET|NOT AVAILABLE|DEPARTED|CANCEL|NOT EXIST|CLOSED"), "not_available")
+        .when(last.rlike(r"^(AVAILABLE|AVL|CURR_AVBL)\b"), "available").when(last.rlike(r"^RAC\b"), "rac").when(last.rlike("^[A-Z]*WL"), "waitlist")
+        .otherwise("unknown")
     )
 
 
@@ -69,36 +75,57 @@ def to_number(text: Column) -> Column:
 
 
 def parse_classes(text: Column) -> Column:
-    """Class codes of a concatenated or separated text, each once, in the fixed order; null unless all of it is read."""
-    t = F.regexp_replace(text, r"[^0-9A-Za-z]", "")
-    found = F.regexp_extract_all(t, F.lit("|".join(CLASS_ORDER)), F.lit(0))
-    ordered = F.filter(F.array(*[F.when(F.array_contains(found, c), F.lit(c)) for c in CLASS_ORDER]), lambda x: x.isNotNull())
+    """Class codes of a printed text, each once, in the fixed order; null unless all of it is read.
+
+    Blanks, commas, stops, slashes, colons, semicolons and hyphens are skipped. Codes of
+    unreserved and service cars are read but are no class.
+    """
+    t = F.regexp_replace(F.upper(text), r"[\s,./;:-]+", "")
+    codes = [c.replace("(", r"\(").replace(")", r"\)") for c in [*CLASS_FORMS, *CLASS_ORDER, *CLASSES_IGNORED]]
+    found = F.regexp_extract_all(t, F.lit("|".join(codes)), F.lit(0))
+    same = lambda c: [c, *[f for f, x in CLASS_FORMS.items() if x == c]]
+    ordered = F.array_compact(F.array(*[F.when(F.arrays_overlap(found, F.array(*[F.lit(f) for f in same(c)])), F.lit(c)) for c in CLASS_ORDER]))
     return F.when((F.length(t) > 0) & (F.length(F.array_join(found, "")) == F.length(t)), ordered)
 
 
 def parse_days(text: Column) -> Column:
-    """Weekday mask of ``Daily``, seven binary digits, ``Except Su`` and lists of day tokens; null if a token is unknown."""
-    t = F.trim(F.lower(text))
-    excepted = F.regexp_extract(t, r"^(?:except|ex\.?)\s+(.+)$", 1)
-    tokens = F.filter(F.split(F.when(excepted != "", excepted).otherwise(t), r"[^a-z0-9]+"), lambda x: x != "")
+    """Weekday mask of ``Daily``, ``Except``, ``Exc`` or ``Ex`` with days, and lists of days; null if any word is unknown.
+
+    Days are separated by blanks, commas, semicolons or ampersands; stops count as blanks.
+    """
+    t = F.trim(F.regexp_replace(F.replace(F.replace(F.lower(text), F.lit("."), F.lit(" ")), F.lit(";"), F.lit(",")), r"\s+", " "))
+    excepted = F.regexp_extract(t, r"^(?:except|exc|ex)\s+(.+)$", 1)
+    tokens = F.filter(F.split(F.when(excepted != "", excepted).otherwise(t), r"[,\s&]+"), lambda x: x != "")
     bits = {f: 1 << i for i, d in enumerate(WEEKDAYS) for f in DAY_FORMS[d]}
     table = F.create_map(*[F.lit(x) for f, b in bits.items() for x in (f, b)])
     values = F.transform(tokens, lambda x: F.try_element_at(table, x))
     mask = F.aggregate(values, F.lit(0), lambda a, x: a.bitwiseOR(x))
-    digits = F.lit(0)
+    known = (t != "") & F.forall(values, lambda x: x.isNotNull())
+    return F.when(t == "daily", 127).when(known, F.when(excepted != "", F.lit(127) - mask).otherwise(mask))
+
+
+def bit_days(text: Column) -> Column:
+    """Weekday mask of seven binary digits, Monday first; null for anything else."""
+    t = F.trim(text)
+    mask = F.lit(0)
     for i in range(7):
-        digits = digits + F.when(F.substring(t, i + 1, 1) == "1", 1 << i).otherwise(0)
-    known = (F.size(tokens) > 0) & F.forall(values, lambda x: x.isNotNull())
-    return F.when(t == "daily", 127).when(t.rlike("^[01]{7}$"), digits).when(known, F.when(excepted != "", F.lit(127) - mask).otherwise(mask))
+        mask = mask + F.when(F.substring(t, i + 1, 1) == "1", 1 << i).otherwise(0)
+    return F.when(t.rlike("^[01]{7}$"), mask)
 
 
 #: Kinds of train by words of the name, the first that fits.
-TRAIN_KINDS = [("superfast", r"\bSF\b"), ("mail", r"\bMAIL\b"), ("intercity", r"\bINTERCITY\b"), ("passenger", r"\bPASS\b"), ("special", r"\bSPL\b"), ("express", r"\bEXP\b")]
+TRAIN_KINDS = [
+    ("Vande Bharat", r"vande\s*bharat"), ("Rajdhani", r"rajdhani"), ("Jan Shatabdi", r"jan\s*shatabdi"), ("Shatabdi", r"shatabdi"), ("Duronto", r"duronto"),
+    ("Garib Rath", r"garib\s*rath"), ("Humsafar", r"humsafar"), ("Tejas", r"tejas"), ("Gatimaan", r"gatiman|gatimaan"), ("Amrit Bharat", r"amrit\s*bharat"),
+    ("Antyodaya", r"antyodaya"), ("Sampark Kranti", r"sampark\s*kranti"), ("Double Decker", r"double\s*decker"), ("Uday", r"\buday\b"),
+    ("Namo Bharat", r"namo\s*bharat"), ("MEMU", r"\bmemu\b"), ("DEMU", r"\bdemu\b"), ("Passenger", r"passenger"), ("Mail", r"\bmail\b"),
+    ("SF", r"superfast|\bsf\b"), ("Exp", r"express|\bexp\b"),
+]
 
 
 def train_kind(name: Column) -> Column:
     """Kind of train by the first fitting word of an ordered list, else null."""
-    return F.coalesce(*[F.when(F.upper(name).rlike(p), F.lit(k)) for k, p in TRAIN_KINDS])
+    return F.coalesce(*[F.when(F.lower(name).rlike(p), F.lit(k)) for k, p in TRAIN_KINDS])
 
 
 def flag_values(flags: Column, names: list[str | None]) -> Column:

@@ -7,10 +7,11 @@ Input is long: one row for each item, field and source, with ``prio`` (1 is the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopline.operators.grouped import per_group
 
 #: Overall statuses from the least to the most verified.
 STRENGTH = ["conflict", "not_checked", "single_source", "updated", "partially_confirmed", "majority", "confirmed"]
@@ -58,15 +59,19 @@ def settle(reports: DataFrame, keys: list[str], applies: bool = True, operationa
         F.when((F.col("n_values") == 1) & (ups >= 2), "confirmed").when(F.col("n_values") == 1, "single_source")
         .when(F.coalesce(replaces, F.lit(False)) & ~F.lit(applies), "conflict").when(majority, "majority").when(update | mirror, "updated").otherwise("conflict")
     )
-    out = packed.select(*keys, status.alias("status"), "primary", value.alias("value"))
+    out = packed.select(*keys, status.alias("status"), "primary", (ups > 0).alias("counted"), value.alias("value"))
     return out.withColumn("shown", F.when(F.col("status") == "conflict", F.col("primary")).otherwise(F.coalesce("value", "primary"))).drop("value")
 
 
 def roll_up(fields: DataFrame, keys: list[str]) -> DataFrame:
-    """Overall status of an item from its fields' statuses."""
+    """Overall status of an item from its fields' statuses; not_checked if no source of any field is evidence.
+
+    ``fields`` may have ``counted``, as :func:`settle` gives it; without it every field has evidence.
+    """
     n = lambda s: F.count_if(F.col("status") == s)
+    evidence = F.col("counted") if "counted" in fields.columns else F.lit(True)
     overall = (
-        F.when(n("conflict") > 0, "conflict").when(F.count(F.lit(1)) == 0, "not_checked").when(n("updated") > 0, "updated")
+        F.when(n("conflict") > 0, "conflict").when(F.count_if(evidence) == 0, "not_checked").when(n("updated") > 0, "updated")
         .when(n("confirmed") + n("majority") == 0, "single_source").when(n("single_source") > 0, "partially_confirmed")
         .when(n("majority") > 0, "majority").otherwise("confirmed")
     )
@@ -94,43 +99,48 @@ def tolerant_groups(values: Column, tolerance: float) -> Column:
     return F.aggregate(values.cast("array<double>"), empty, add)
 
 
-MERGED = "train_number string, source string, visit int, dep int, matched array<string>, missing array<string>"
-
-
 def merge_visits(rides: DataFrame, sources: list[str]) -> DataFrame:
     """Rides of a train from several sources merged into rows, each ride in exactly one.
 
-    ``rides`` has ``train_number, source, dep``. Sources with equally many rides pair them in
-    order of departure, others by equal departure; each ride is used once, and the first
-    source in order that is left with it presents it. One train's rides are a bounded group.
+    ``rides`` has ``train_number, source, dep``. Two sources that list a train equally often
+    pair its rides in order of departure, others pair the first rides of equal departure. A
+    ride belongs to the first source in order whose ride it pairs with, else it is a row of
+    its own. Result: ``train_number, source, visit, dep, matched, missing``. Other sources'
+    rides are left out; nulls in ``dep`` come first.
+
+    One round of equi-joins on (train, visit or departure) for each two sources; the sources
+    are a short list, the rides any number.
     """
-    def merge(train: str, group: list[dict]) -> list[tuple]:
-        per = {s: sorted(r["dep"] for r in group if r["source"] == s) for s in {r["source"] for r in group}}
-        used: dict[str, set[int]] = {s: set() for s in per}
-        rows = []
-        for s in sources:
-            for visit, dep in enumerate(per.get(s, ())):
-                if visit in used[s]:
-                    continue
-                used[s].add(visit)
-                matched, missing = [], []
-                for o in sources:
-                    if o == s:
-                        continue
-                    theirs = per.get(o)
-                    at = -1 if theirs is None else visit if len(theirs) == len(per[s]) else (theirs.index(dep) if dep in theirs else -1)
-                    if at >= 0 and at not in used[o]:
-                        used[o].add(at)
-                        matched.append(o)
-                    else:
-                        missing.append(o)
-                rows.append((train, s, visit, dep, matched, missing))
-        return rows
-
-    return per_group(rides.where(F.col("source").isin(sources)).select("train_number", "source", "dep"), "train_number", merge, MERGED)
+    at = Window.partitionBy("train_number", "source").orderBy("dep")
+    mine = rides.where(F.col("source").isin(sources)).select("train_number", "source", "dep").withColumn("visit", F.row_number().over(at) - 1)
+    listed = mine.groupBy("train_number").agg(*[F.count_if(F.col("source") == s).alias(f"n{k}") for k, s in enumerate(sources)])
+    same = Window.partitionBy("train_number", "source", "dep").orderBy("visit")
+    free = mine.withColumn("nth", F.row_number().over(same)).join(listed, "train_number")
+    left = {s: free.where(F.col("source") == s) for s in sources}
+    out = []
+    for k, s in enumerate(sources):
+        rows = left[s].withColumn("turn", F.row_number().over(Window.partitionBy("train_number", "dep").orderBy("visit")))
+        for j, o in enumerate(sources[k + 1 :], k + 1):
+            even = F.col(f"n{k}") == F.col(f"n{j}")
+            key = F.when(even, F.struct(F.lit(True).alias("by_visit"), F.col("visit").alias("x"))).otherwise(F.struct(F.lit(False).alias("by_visit"), F.col("dep").cast("int").alias("x")))
+            theirs = left[o].where(even | (F.col("nth") == 1)).select("train_number", key.alias("key"), F.col("visit").alias(f"m{j}"))
+            pair = rows.select("train_number", "visit", "turn", F.when(even | (F.col("turn") == 1), key).alias("key")).join(theirs, ["train_number", "key"])
+            rows = rows.join(pair.select("train_number", "visit", f"m{j}"), ["train_number", "visit"], "left")
+            left[o] = left[o].join(pair.select("train_number", F.col(f"m{j}").alias("visit")), ["train_number", "visit"], "left_anti")
+        later = {o: F.col(f"m{j}").isNotNull() for j, o in enumerate(sources) if j > k}
+        pick = lambda want: F.array_compact(F.array(*[F.when(later.get(o, F.lit(False)) == want, F.lit(o)) for o in sources if o != s]))
+        none = F.array().cast("array<string>")
+        many = len(sources) > 1
+        out.append(rows.select("train_number", "source", "visit", "dep", (pick(True) if many else none).alias("matched"), (pick(False) if many else none).alias("missing")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def copied_positions(positions: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``counted``: false for a position identical to one of higher priority, which is a copy and no evidence."""
-    w = Window.partitionBy(*keys, "lat", "lon").orderBy("prio")
-    return positions.withColumn("counted", F.row_number().over(w) == 1)
+    """Adds ``counted``: false for a position that is no evidence of its own.
+
+    That is one from a source that is not ``independent`` (a column; missing means all are),
+    and one identical to an independent one of higher priority, which is a copy.
+    """
+    own = F.col("independent") if "independent" in positions.columns else F.lit(True)
+    w = Window.partitionBy(*keys, "lat", "lon", own).orderBy("prio")
+    return positions.withColumn("counted", own & (F.row_number().over(w) == 1))

@@ -53,15 +53,18 @@ def assign_cells(numbers: list[str], values: list[str], allowed: dict[str, set[s
 
 
 def consistent_times(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Whether two segments agree at every station they share, and share one at least.
+    """Whether two segments print the same times at every station they share, and how many calls they share.
 
-    Both sides have the keys, ``station_code`` and ``at`` (several times of a station form a set).
+    Both sides have the keys, ``station_code``, ``arr`` and ``dep``. Two calls agree if the times
+    of one are all among the other's and neither role has two different times. Every call of
+    a station is held against every call there of the other segment.
     """
-    ta = a.groupBy(*keys, "station_code").agg(F.collect_set("at").alias("x"))
-    tb = b.groupBy(*keys, "station_code").agg(F.collect_set("at").alias("y"))
-    return ta.join(tb, [*keys, "station_code"]).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("shared"), F.bool_and(F.arrays_overlap("x", "y") | (F.size("x") == 0) | (F.size("y") == 0)).alias("consistent")
-    )
+    x = a.select(*keys, "station_code", F.col("arr").alias("a1"), F.col("dep").alias("d1"))
+    y = b.select(*keys, "station_code", F.col("arr").alias("a2"), F.col("dep").alias("d2"))
+    p, q = F.array_compact(F.array("a1", "d1")), F.array_compact(F.array("a2", "d2"))
+    inside = (F.size(F.array_except(p, q)) == 0) | (F.size(F.array_except(q, p)) == 0)
+    differ = F.coalesce(F.col("a1") != F.col("a2"), F.lit(False)) | F.coalesce(F.col("d1") != F.col("d2"), F.lit(False))
+    return x.join(y, [*keys, "station_code"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("shared"), F.bool_and(inside & ~differ).alias("consistent"))
 
 
 OFFSETS = "train_number string, segment bigint, component bigint, offset int, clash boolean"
@@ -191,14 +194,15 @@ def choose_by_detour(gaps: DataFrame, candidates: DataFrame, positions: DataFram
 def pair_verdicts(pairs: DataFrame, near_km: float = 1.0, far_km: float = 5.0) -> DataFrame:
     """Whether two codes mean one station.
 
-    ``pairs``: ``km`` (null if unknown), ``same_name``, ``same_route``, ``duplicate``, ``live_a``,
-    ``live_b`` (booleans, null unknown). Rejected when far apart or both codes are in use;
-    accepted when near with an equal name, a shared route slot or a duplicate entry; else open.
+    ``pairs``: ``km`` (null if unknown), ``same_route`` (a shared slot with equal times) and
+    ``duplicate`` (one list holds both at one place), ``live_a``, ``live_b`` (null unknown).
+    Rejected: a status is unknown, both codes are in use, far apart, or not both near, with one
+    code in use, and backed by a route or a duplicate. Otherwise accepted.
     """
-    near = F.col("km") <= near_km
-    backed = F.coalesce("same_name", F.lit(False)) | F.coalesce("same_route", F.lit(False)) | F.coalesce("duplicate", F.lit(False))
+    said = lambda c: F.coalesce(c, F.lit(False))
+    one = F.col("live_a") != F.col("live_b")
     verdict = (
-        F.when(F.col("km") > far_km, "rejected").when(F.coalesce("live_a", F.lit(False)) & F.coalesce("live_b", F.lit(False)), "rejected")
-        .when(near & backed, "accepted").otherwise("open")
+        F.when(F.col("live_a").isNull() | F.col("live_b").isNull(), "status unknown").when(F.col("live_a") & F.col("live_b"), "both in use")
+        .when(said(F.col("km") > far_km), "far apart").when(said(one & (F.col("km") <= near_km)) & (said(F.col("same_route")) | said(F.col("duplicate"))), "accepted").otherwise("too little evidence")
     )
-    return pairs.withColumn("verdict", verdict)
+    return pairs.withColumn("reason", verdict).withColumn("verdict", F.when(F.col("reason") == "accepted", "accepted").otherwise("rejected"))

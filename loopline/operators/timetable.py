@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopline.functions import clock
+from loopline.functions import clock, text
+from loopline.session import stage
 
 ROW = "struct<seq:int,code:string,name:string,arr:int,dep:int,day:int,km:int>"
 PLACED = "struct<seq:int,code:string,name:string,arr:int,dep:int,km:int,late:int>"
@@ -89,7 +90,8 @@ def legs(placed: DataFrame, trains: DataFrame) -> DataFrame:
     """
     a = placed.where("halts").select("train_number", F.col("pos").alias("i"), F.col("station_code").alias("from_code"), F.col("dep_abs"), F.col("km").alias("km_a"))
     b = placed.where("halts").select("train_number", F.col("pos").alias("j"), F.col("station_code").alias("to_code"), F.col("arr_abs"), F.col("km").alias("km_b"))
-    first = Window.partitionBy("train_number", "i", "to_code").orderBy("j")
+    # the boarding station goes with (train, i); as a key of the window it lets a filter on it through
+    first = Window.partitionBy("train_number", "i", "from_code", "to_code").orderBy("j")
     pairs = a.join(b, "train_number").where("j > i").withColumn("nth", F.row_number().over(first)).where("nth = 1")
     t = trains.select("train_number", clock.days_mask(F.col("days")).alias("mask"), "classes").dropDuplicates(["train_number"])
     shift = F.floor(F.col("dep_abs") / clock.DAY)
@@ -161,6 +163,18 @@ def valid_variant(variants: DataFrame, month_day: str, order: list[str]) -> Data
     return ok.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def searchable(variants: DataFrame, stops: DataFrame, month_day: str | None, order: list[str]) -> DataFrame:
+    """One row a train, the variant valid on a day or else the first, with ``search_name``: its name and its terminals' names, normalised.
+
+    ``stops`` has ``train_number, seq, station_name``. Trains without stops are searched by their name alone.
+    """
+    invalid = F.lit(0) if month_day is None else (~F.coalesce(clock.in_yearly_window(F.lit(month_day), F.col("valid_from"), F.col("valid_to")), F.lit(False))).cast("int")
+    w = Window.partitionBy("train_number").orderBy(invalid, *order)
+    t = variants.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    ends = stops.groupBy("train_number").agg(F.min_by("station_name", "seq").alias("__from"), F.max_by("station_name", "seq").alias("__to"))
+    return t.join(ends, "train_number", "left").withColumn("search_name", text.normalise_name(F.concat_ws(" ", "train_name", "__from", "__to"))).drop("__from", "__to")
+
+
 def connections(rides: DataFrame, origin: str, target: str, legs_max: int = 2, weekday: int | None = None, shortest: int = 45, longest: int = 360, via: list[str] | None = None, k: int = 12, k3: int = 3, hub: int = 10, calls: DataFrame | None = None, placed: DataFrame | None = None, limit: int = 8) -> DataFrame:
     """Journeys of two or three trains between two stations, fastest first.
 
@@ -185,7 +199,8 @@ def connections(rides: DataFrame, origin: str, target: str, legs_max: int = 2, w
     first = ride.where((F.col("from_code") == origin) & (F.col("to_code") != target))
     if weekday is not None:
         first = first.where(clock.runs_on(F.col("departs_on"), F.lit(weekday)))
-    first, last = frontier(first, "to_code"), frontier(ride.where((F.col("to_code") == target) & (F.col("from_code") != origin)), "from_code")
+    last = frontier(ride.where((F.col("to_code") == target) & (F.col("from_code") != origin)), "from_code")
+    first, last = stage(frontier(first, "to_code"), "first-rides"), stage(last, "last-rides")
 
     def named(df: DataFrame, n: int) -> DataFrame:
         return df.select(*[F.col(c).alias(f"{c}{n}") for c in df.columns])
@@ -241,7 +256,14 @@ def connections(rides: DataFrame, origin: str, target: str, legs_max: int = 2, w
 
 
 def not_dominated(df: DataFrame, placed: DataFrame, n: int) -> DataFrame:
-    """Journeys no leg of which could have been boarded earlier or left later, by two anti-joins a pair of legs."""
+    """Journeys no leg of which could have been boarded earlier or left later, by two anti-joins a pair of legs.
+
+    The journeys come from bounded frontiers, so they are few: they are written once, and only
+    the calls of their trains take part, which one scan of ``placed`` picks out.
+    """
+    df = stage(df, "journeys")
+    own = df.select(F.explode(F.array(*[f"train_number{q}" for q in range(1, n + 1)])).alias("train_number")).distinct()
+    placed = stage(placed.select("train_number", "station_code", "pos", "arr_abs", "dep_abs").join(own, "train_number", "left_semi"), "their-calls")
     calls = placed.groupBy("train_number", "station_code").agg(F.min("pos").alias("pos"))
     dep = placed.join(calls, ["train_number", "station_code", "pos"]).select(F.col("train_number").alias("t"), F.col("station_code").alias("c"), F.col("pos").alias("p"), "dep_abs")
     late = placed.where("arr_abs is not null").select(F.col("train_number").alias("t"), F.col("station_code").alias("c"), F.col("pos").alias("p"))

@@ -41,8 +41,17 @@ def a04_route_core_seen(spark, d):
     return s.select("train_number", "lo", "hi", "n_runs", F.array_join(F.col("core").cast("array<string>"), ",").alias("core"), F.array_join(F.col("seen").cast("array<string>"), ",").alias("seen"))
 
 
+def _two_seasons(spark: SparkSession, d: str) -> DataFrame:
+    """Readings as if each train ran one route until June, over two thirds of its stations, and from July on another."""
+    r = punctuality.latest_readings(table(spark, d, "delays"), PAIR).withColumn("run_date", F.trunc("run_date", "month").cast("date"))
+    o = _order(spark, d)
+    last = o.groupBy("train_number").agg(F.max("idx").alias("last"))
+    r = r.join(o, PAIR).join(last, "train_number")
+    return r.where("case when month(run_date) <= 6 then 3 * idx <= 2 * last else 3 * idx > last end").select(*PAIR, "run_date").distinct()
+
+
 def a04_route_variants(spark, d):
-    return punctuality.route_variants(punctuality.latest_readings(table(spark, d, "delays"), PAIR), _order(spark, d))
+    return punctuality.route_variants(_two_seasons(spark, d), _order(spark, d))
 
 
 def v17_cross_check(spark, d):
@@ -66,7 +75,7 @@ def _day_reports(spark: SparkSession, d: str) -> DataFrame:
     seg = alignment.first_by_priority(table(spark, d, "segments").where("train_number is not null").select("train_number", "days_raw", "classes_raw", "segment_id"), "train_number", [F.col("segment_id")])
     return (
         one(lists("trains"), "main", 1, "print").unionByName(one(lists("trains_mirror"), "mirror", 2, "operator"))
-        .unionByName(one(fields(search, text.parse_days(F.col("running_days")), text.parse_classes(F.col("avl_classes"))), "search", 3, "operator"))
+        .unionByName(one(fields(search, F.coalesce(text.bit_days(F.col("running_days")), text.parse_days(F.col("running_days"))), text.parse_classes(F.col("avl_classes"))), "search", 3, "operator"))
         .unionByName(one(fields(seg, text.parse_days(F.col("days_raw")), text.parse_classes(F.col("classes_raw"))), "pages", 4, "print", False))
     )
 
@@ -110,6 +119,8 @@ def v12_copied_coordinates(spark, d):
     a = table(spark, d, "stations").select("code", "lat", "lon", F.lit(1).alias("src"), F.col("station_id").alias("id"))
     b = _ct_positions(spark, d).select("code", "lat", "lon", F.lit(2).alias("src"), "id")
     p = a.unionByName(b).where("code is not null and lat is not null and lon is not null").withColumn("prio", F.struct("src", "id"))
+    # coarse positions are read off a map, not measured
+    p = p.withColumn("independent", F.expr("lat * 100 <> round(lat * 100) or lon * 100 <> round(lon * 100)"))
     return evidence.copied_positions(p, ["code"]).groupBy("code").agg(F.count_if("counted").alias("independent"), F.count(F.lit(1)).alias("reported"))
 
 
@@ -238,19 +249,21 @@ _CT = "ct as (select station_code code, station_name, state_name, try_cast(trim(
 _NORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower({c}), '[().,''’\-/]', ' ', 'g'), '\s+', ' ', 'g')), '\bjunction\b', 'jn', 'g'), '\bcantonment\b', 'cantt', 'g'), '\bterminus\b', 't', 'g'), '\bterminal\b', 't', 'g'), '\broad\b', 'rd', 'g')"
 
 
-def _days_sql(table_: str, key: str, col: str) -> str:
+def _days_sql(table_: str, key: str, col: str, bits: bool = False) -> str:
     forms = ", ".join(f"('{f}', {1 << i})" for i, n in enumerate(clock.WEEKDAYS) for f in text.DAY_FORMS[n])
-    digits = " + ".join(f"case when t[{i + 1}] = '1' then {1 << i} else 0 end" for i in range(7))
-    return f"""(with m(f, b) as (values {forms}), x as (select {key} k, lower(trim({col}, ' ')) t from {table_}),
-y as (select k, t, coalesce(regexp_extract(t, '^(?:except|ex\\.?)\\s+(.+)$', 1), '') e from x),
-z as (select k, t, e <> '' ex, [w for w in regexp_split_to_array(case when e <> '' then e else t end, '[^a-z0-9]+') if w <> ''] w from y),
+    digits = "when regexp_full_match(t, '[01]{7}') then " + " + ".join(f"case when t[{i + 1}] = '1' then {1 << i} else 0 end" for i in range(7)) if bits else ""
+    return f"""(with m(f, b) as (values {forms}), x as (select {key} k, trim(regexp_replace(replace(replace(lower({col}), '.', ' '), ';', ','), '\\s+', ' ', 'g'), ' ') t from {table_}),
+y as (select k, t, coalesce(regexp_extract(t, '^(?:except|exc|ex)\\s+(.+)$', 1), '') e from x),
+z as (select k, t, e <> '' ex, [w for w in regexp_split_to_array(case when e <> '' then e else t end, '[,\\s&]+') if w <> ''] w from y),
 q as (select k, count(*) n, count(b) found, bit_or(b) mask from (select k, unnest(w) w from z) left join m on w = f group by 1)
-select z.k, cast(case when t = 'daily' then 127 when regexp_full_match(t, '[01]{{7}}') then {digits} when n = found then case when ex then 127 - mask else mask end end as int) v from z left join q on z.k = q.k)"""
+select z.k, cast(case when t = 'daily' then 127 {digits} when t <> '' and coalesce(n, 0) = coalesce(found, 0) then case when ex then 127 - coalesce(mask, 0) else coalesce(mask, 0) end end as int) v from z left join q on z.k = q.k)"""
 
 
-def _classes_sql(table_: str, key: str, col: str) -> str:
-    return f"""(select k, case when t <> '' and array_to_string(v, '') = t then array_to_string(list_sort(list_distinct(v)), ' ') end v from
-(select k, t, regexp_extract_all(t, '1A|2A|3A|3E|EC|CC|FC|SL|2S') v from (select {key} k, regexp_replace({col}, '[^0-9A-Za-z]', '', 'g') t from {table_})))"""
+def _classes_sql(table_: str, key: str, col: str, ordered: bool = False) -> str:
+    out = "array_to_string([c for c in ['1A', '2A', '3A', '3E', 'SL', 'FC', 'EC', 'CC', '2S'] if list_contains(w, c)], ' ')" if ordered else "array_to_string(list_sort(list_distinct([c for c in w if list_contains(['1A', '2A', '3A', '3E', 'SL', 'FC', 'EC', 'CC', '2S'], c)])), ' ')"
+    return f"""(select k, case when t <> '' and array_to_string(v, '') = t then {out} end v from
+(select *, [case when c in ('3A(E)', '3AE') then '3E' else c end for c in v] w from
+(select k, t, regexp_extract_all(t, '3A\\(E\\)|3AE|1A|2A|3A|3E|SL|CC|EC|2S|FC|EV|EA|PC|GEN|GS|II|P') v from (select {key} k, regexp_replace(upper({col}), '[\\s,./;:-]+', '', 'g') t from {table_}))))"""
 
 
 _REPORTS = f"""se as (select * from (select *, row_number() over (partition by train_number order by search_id) r from search_trains) where r = 1),
@@ -260,7 +273,7 @@ rep as (
   union all select train_number, 'classes', 'main', 1, 'print', true, array_to_string(list_sort(list_distinct(classes)), ' ') from trains
   union all select train_number, 'days', 'mirror', 2, 'operator', true, cast({_mask('days')} as varchar) from trains_mirror
   union all select train_number, 'classes', 'mirror', 2, 'operator', true, array_to_string(list_sort(list_distinct(classes)), ' ') from trains_mirror
-  union all select k, 'days', 'search', 3, 'operator', true, cast(v as varchar) from {_days_sql('se', 'train_number', 'running_days')}
+  union all select k, 'days', 'search', 3, 'operator', true, cast(v as varchar) from {_days_sql('se', 'train_number', 'running_days', True)}
   union all select k, 'classes', 'search', 3, 'operator', true, v from {_classes_sql('se', 'train_number', 'avl_classes')}
   union all select k, 'days', 'pages', 4, 'print', false, cast(v as varchar) from {_days_sql('sg', 'train_number', 'days_raw')}
   union all select k, 'classes', 'pages', 4, 'print', false, v from {_classes_sql('sg', 'train_number', 'classes_raw')}),
@@ -281,8 +294,8 @@ fs as (select train_number, field, prim,
        when own_services = 1 and n_rivals = 1 and rival_support = 1 and rival_up <> 'print' and not dissent then 'updated'
        else 'conflict' end status,
   case when n_values = 1 then any_v when n2 = 1 and best >= 2 then maj_v
-       when own_services = 1 and n_rivals = 1 and rival_support = 1 and rival_up <> 'print' and not dissent then rival_v else prim end shown from ds)"""
-_ROLL = """ro as (select train_number, case when count(*) filter (status = 'conflict') > 0 then 'conflict' when count(*) filter (status = 'updated') > 0 then 'updated'
+       when own_services = 1 and n_rivals = 1 and rival_support = 1 and rival_up <> 'print' and not dissent then rival_v else prim end shown, coalesce(best, 0) > 0 counted from ds)"""
+_ROLL = """ro as (select train_number, case when count(*) filter (status = 'conflict') > 0 then 'conflict' when count(*) filter (counted) = 0 then 'not_checked' when count(*) filter (status = 'updated') > 0 then 'updated'
   when count(*) filter (status in ('confirmed', 'majority')) = 0 then 'single_source' when count(*) filter (status = 'single_source') > 0 then 'partially_confirmed'
   when count(*) filter (status = 'majority') > 0 then 'majority' else 'confirmed' end overall, count(*) n_fields, count(*) filter (status = 'conflict') n_conflicts from fs group by 1)"""
 
@@ -300,17 +313,45 @@ g as (select train_number, lo, hi, count(*) n_runs from e group by 1, 2, 3 havin
 c as (select train_number, lo, hi, idx, count(distinct run_date) c from x join e using (train_number, run_date) group by 1, 2, 3, 4)
 select train_number, lo, hi, n_runs, coalesce(string_agg(cast(idx as varchar), ',' order by idx) filter (c = n_runs), '') core, string_agg(cast(idx as varchar), ',' order by idx) seen
 from c join g using (train_number, lo, hi) group by 1, 2, 3, 4""",
+    "a04_route_variants": f"""with {_LATEST}, o as (select train_number, station_code, min(seq) idx from stops where station_code is not null group by 1, 2),
+x as (select distinct train_number, cast(date_trunc('month', run_date) as date) dy, idx from rd join o using (train_number, station_code) join (select train_number, max(idx) "last" from o group by 1) using (train_number)
+  where case when month(run_date) <= 6 then 3 * idx <= 2 * "last" else 3 * idx > "last" end),
+ru as (select train_number, dy, min(idx) lo, max(idx) hi, list(idx) s from x group by 1, 2),
+ro as (select train_number t, lo, hi, count(*) n, min(dy) f, max(dy) l from ru where lo < hi group by 1, 2, 3 having count(*) >= 2),
+ct as (select ro.t, ro.lo, ro.hi, ro.n, idx, count(*) c from ro join ru on t = train_number and ro.lo = ru.lo and ro.hi = ru.hi join x using (train_number, dy) group by 1, 2, 3, 4, 5),
+rs as (select ro.*, core, seen from ro join (select t, lo, hi, coalesce(list(idx) filter (c = n), []) core, list(idx) seen from ct group by 1, 2, 3) using (t, lo, hi)),
+lo as (select ru.* from ru anti join ro on t = train_number and ro.lo = ru.lo and ro.hi = ru.hi),
+pr as (select a.t, [i for i in a.core if not list_contains(b.seen, i)] ma, [i for i in b.core if not list_contains(a.seen, i)] mb, a.f <= b.l and b.f <= a.l meet from rs a join rs b on a.t = b.t and (a.lo, a.hi) < (b.lo, b.hi)),
+ok as (select distinct t from pr where t not in (select t from pr where len(ma) = 0 or len(mb) = 0 or meet)
+  and t not in (select t from pr join lo on t = train_number where list_has_any(s, ma) and list_has_any(s, mb))),
+g as (select rs.* from rs join ok using (t)),
+fit as (select train_number, dy, count(*) filter (lo.lo >= g.lo and lo.hi <= g.hi) n_fit, max(g.lo) filter (lo.lo >= g.lo and lo.hi <= g.hi) flo, max(g.hi) filter (lo.lo >= g.lo and lo.hi <= g.hi) fhi,
+  bool_or(lo.lo >= g.lo and lo.hi <= g.hi and list_has_all(seen, s)) known, bool_or(not (lo.lo >= g.lo and lo.hi <= g.hi) and dy between f and l) elsewhere from lo join g on t = train_number group by 1, 2),
+fa as (select *, n_fit = 1 and known and not elsewhere good from fit),
+fin as (select t, g.lo, g.hi, least(f, min(dy)) first_run, greatest(l, max(dy)) last_run, cast(n + count(dy) as int) runs, cast(coalesce(max(rest), 0) as int) unassigned
+  from g left join fa on t = train_number and flo = lo and fhi = hi and good left join (select train_number tn, count(*) filter (not good) rest from fa group by 1) on tn = t group by t, g.lo, g.hi, f, l, n)
+select t train_number, lo, hi, first_run, last_run, runs, unassigned from fin
+where t not in (select a.t from fin a join fin b on a.t = b.t and (a.lo, a.hi) <> (b.lo, b.hi) and a.first_run <= b.last_run and b.first_run <= a.last_run)""",
+    "n10_merged_visits": f"""with m as (select train_number, 0 k, dep from (select distinct train_number, {_min('departure')} dep from stops) where dep is not null union all
+select train_number, 1, dep from (select distinct train_number, {_min('departure')} dep from stops_mirror) where dep is not null),
+v as (select *, row_number() over (partition by train_number, k order by dep) - 1 visit, count(*) over (partition by train_number, k) n from m),
+a as (select * from v where k = 0), b as (select * from v where k = 1),
+p as (select a.train_number, a.visit va, b.visit vb from a join b on a.train_number = b.train_number and case when a.n = b.n then a.visit = b.visit else a.dep = b.dep end)
+select a.train_number, 'main' "source", cast(visit as int) visit, dep, case when vb is null then '' else 'mirror' end "matched" from a left join p on a.train_number = p.train_number and visit = va
+union all select b.train_number, 'mirror', cast(visit as int), dep, '' from b left join p on b.train_number = p.train_number and visit = vb where vb is null""",
     "v17_cross_check": f"""with {_R}, rd as (select * from (select *, row_number() over (partition by train_number, station_code, provider, run_date order by received_at desc, delay_id desc) k from r0) where k = 1),
 rn as (select *, row_number() over (partition by train_number, station_code, provider order by run_date desc) nth from rd),
 f as (select train_number, station_code, provider, {_R1.format('avg(dl)')} v, cast(max(run_date) as date) - cast(min(run_date) as date) span from rn where nth <= 7 group by 1, 2, 3),
 g as (select train_number, station_code, max(v) filter (provider = 'runlog') mine, count(v) filter (provider <> 'runlog') n_others, min(v) filter (provider <> 'runlog') lo, max(v) filter (provider <> 'runlog') hi, max(span) span from f group by 1, 2)
 select train_number, station_code, mine, n_others, case when mine is null then 'not_checked' when n_others = 0 then 'single_source' when span > 14 then 'not_comparable' when hi - mine <= 10 and mine - lo <= 10 then 'corroborated' else 'conflict' end status from g""",
+    "j10_parse_classes": f"select k segment_id, v classes from {_classes_sql('segments', 'segment_id', 'classes_raw', True)}",
+    "j11_parse_days": f"select k segment_id, v mask from {_days_sql('segments', 'segment_id', 'days_raw')}",
     "v01_field_status": f"with {_REPORTS} select train_number, field, status, shown from fs",
     "v05_overall_rollup": f"with {_REPORTS}, {_ROLL} select * from ro",
     "v13_corrections": f"with {_REPORTS} select train_number, field, prim as \"primary\", shown from fs where status in ('majority', 'updated') and prim is not null and shown <> prim",
     "a07_weakest": f"""with {_REPORTS}, {_ROLL}, t as (select distinct train_number, train_type from trains)
 select train_type, {evidence.STRENGTH}[min(list_position({evidence.STRENGTH}, overall))] weakest, count(*) n from ro join t using (train_number) group by 1""",
-    "v12_copied_coordinates": f"with {_CT}, p as (select code, lat, lon from stations union all select code, lat, lon from ct) select code, count(distinct (lat, lon)) independent, count(*) reported from p where code is not null and lat is not null and lon is not null group by 1",
+    "v12_copied_coordinates": f"with {_CT}, p as (select code, lat, lon from stations union all select code, lat, lon from ct) select code, count(distinct case when lat * 100 <> round(lat * 100) or lon * 100 <> round(lon * 100) then (lat, lon) end) independent, count(*) reported from p where code is not null and lat is not null and lon is not null group by 1",
     "n08_priority_dedupe": f"""with {_CT}, p as (select code, station_name, lat, lon, 1 src, station_id id from stations union all select code, station_name, lat, lon, 2, id from ct)
 select code, station_name, lat, lon, src from (select *, row_number() over (partition by code order by src, id) r from p where code is not null and lat is not null and lon is not null) where r = 1""",
     "n09_fill_gaps": f"""with {_CT}, o as (select * from (select *, row_number() over (partition by code order by id) r from ct where code is not null) where r = 1)

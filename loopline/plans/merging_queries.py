@@ -19,9 +19,9 @@ def w10_keep_first(spark, d):
 
 
 def n15_consistent_segments(spark, d):
-    a = _stops(spark, d).where("station_code is not null").select("train_number", "station_code", F.coalesce("dep", "arr").alias("at"))
+    a = _stops(spark, d).where("station_code is not null").select("train_number", "station_code", "arr", "dep")
     m = table(spark, d, "stops_mirror").where("station_code is not null")
-    b = m.select("train_number", "station_code", F.coalesce(clock.parse_clock(F.col("departure")), clock.parse_clock(F.col("arrival"))).alias("at"))
+    b = m.select("train_number", "seq", "station_code", clock.parse_clock(F.col("arrival")).alias("arr"), clock.parse_clock(F.col("departure")).alias("dep")).distinct()
     return merging.consistent_times(a, b, ["train_number"])
 
 
@@ -69,10 +69,9 @@ def h28_pair_verdicts(spark, d):
     a = n.select(F.col("station_id").alias("station_id_a"), F.col("code").alias("ca"), F.col("name").alias("na"), F.col("live").alias("live_a"))
     b = n.select(F.col("station_id").alias("station_id_b"), F.col("code").alias("cb"), F.col("name").alias("nb"), F.col("live").alias("live_b"))
     p = near.join(a, "station_id_a").join(b, "station_id_b").where("ca <> cb").select(
-        "station_id_a", "station_id_b", F.col("distance_km").alias("km"), (F.col("na") == F.col("nb")).alias("same_name"),
-        F.lit(None).cast("boolean").alias("same_route"), F.lit(None).cast("boolean").alias("duplicate"), "live_a", "live_b",
+        "station_id_a", "station_id_b", F.col("distance_km").alias("km"), F.lit(None).cast("boolean").alias("same_route"), (F.col("na") == F.col("nb")).alias("duplicate"), "live_a", "live_b",
     )
-    return merging.pair_verdicts(p).select("station_id_a", "station_id_b", "verdict")
+    return merging.pair_verdicts(p).select("station_id_a", "station_id_b", "verdict", "reason")
 
 
 def s07_cell_times(spark, d):
@@ -104,9 +103,10 @@ _POS = "ps as (select code, lat, lon from (select *, row_number() over (partitio
 
 ORACLE = {
     "w10_keep_first": "select train_number, seq, stop_id from (select *, row_number() over (partition by train_number, station_name, arrival, departure order by stop_id) r from stops) where r = 1",
-    "n15_consistent_segments": f"""with {S}, a as (select train_number, station_code, list(distinct coalesce(dep, arr)) filter (coalesce(dep, arr) is not null) x from s0 where station_code is not null group by 1, 2),
-b as (select train_number, station_code, list(distinct coalesce({_min('departure')}, {_min('arrival')})) filter (coalesce({_min('departure')}, {_min('arrival')}) is not null) y from stops_mirror where station_code is not null group by 1, 2)
-select train_number, count(*) shared, bool_and(x is null or y is null or list_has_any(x, y)) consistent from a join b using (train_number, station_code) group by 1""",
+    "n15_consistent_segments": f"""with {S}, a as (select train_number, station_code, arr, dep from s0 where station_code is not null),
+b as (select distinct train_number, seq, station_code, {_min('arrival')} arr, {_min('departure')} dep from stops_mirror where station_code is not null),
+j as (select train_number, a.arr a1, a.dep d1, b.arr a2, b.dep d2, [x for x in [a.arr, a.dep] if x is not null] p, [x for x in [b.arr, b.dep] if x is not null] q from a join b using (train_number, station_code))
+select train_number, count(*) shared, bool_and((list_has_all(p, q) or list_has_all(q, p)) and not coalesce(a1 <> a2, false) and not coalesce(d1 <> d2, false)) consistent from j group by 1""",
     "g02_segment_offsets": f"""with {S}, a as (select train_number, station_code, min(coalesce(dep, arr)) x from s0 where station_code is not null and coalesce(dep, arr) is not null group by 1, 2 having count(*) = 1),
 m as (select distinct train_number, seq, station_code, {_min('coalesce(departure, arrival)')} y from stops_mirror),
 b as (select train_number, station_code, min(y) y from m where station_code is not null and y is not null group by 1, 2 having count(*) = 1),
@@ -140,7 +140,8 @@ select train_number, seq, case when ld >= 10 then c1 when mo > 0 then c2 end cod
     "h28_pair_verdicts": f"""with p as (select station_id id, code, lat, lon, radians(lat) y, radians(lon) x, {_NORM.format(c='station_name')} nm, code in (select station_code from stops where station_code is not null) live from stations where lat between 6 and 37.5 and lon between 68 and 97.5 and code is not null),
 q as (select a.id ia, b.id ib, a.nm = b.nm same, a.live la, b.live lb from p a join p b on a.id < b.id and a.code <> b.code and abs(a.lat - b.lat) < 0.01
 where 2 * 6371 * asin(least(1.0, sqrt(pow(sin((b.y - a.y) / 2), 2) + cos(a.y) * cos(b.y) * pow(sin((b.x - a.x) / 2), 2)))) <= 1.0)
-select ia station_id_a, ib station_id_b, case when la and lb then 'rejected' when same then 'accepted' else 'open' end verdict from q""",
+select ia station_id_a, ib station_id_b, case when la <> lb and coalesce(same, false) then 'accepted' else 'rejected' end verdict,
+case when la and lb then 'both in use' when la <> lb and coalesce(same, false) then 'accepted' else 'too little evidence' end reason from q""",
     "s07_cell_times": f"""select stop_id, {_min('arrival')} arr, {_min('departure')} dep, false flagged from stops where arrival is not null or departure is not null""",
     "j23_table_refs": r"select segment_id, cast(unnest(list_concat(coalesce(regexp_extract_all(from_table, '\d+'), []), coalesce(regexp_extract_all(to_table, '\d+'), []))) as int) ref from segments",
     "t27_overlaps": """with x as (select train_number, station_code, window_from, window_to, max(window_to) over (partition by train_number, station_code order by window_from, window_to rows between unbounded preceding and 1 preceding) b from station_stats),

@@ -78,7 +78,7 @@ def j02_station_rank(spark, d):
     return best.join(calls, best["code"] == calls["station_code"], "left").select("code", "score", F.coalesce("calls", F.lit(0)).alias("calls")).orderBy(F.desc("score"), F.desc("calls"), "code").limit(10)
 
 
-STATUS = ["AVAILABLE-0042", "GNWL12/WL7", "RAC 5/RAC 2", "REGRET/WL99", "GNWL3/AVAILABLE-0001", "NOT AVAILABLE", "??", "TRAIN DEPARTED"]
+STATUS = ["AVAILABLE-0042", "GNWL12/WL7", "RAC 5/RAC 2", "REGRET/WL99", "GNWL3/AVAILABLE-0001", "NOT AVAILABLE", "??", "TRAIN DEPARTED", "AVL 7", "AVBL 7", "GNWL3/RAC4", "XRAC 4", "CHART CLOSED/AVL 2"]
 
 
 def j05_status_category(spark, d):
@@ -125,10 +125,10 @@ def f04_towards_semi_join(spark, d):
 
 
 def f08_train_search(spark, d):
-    name = text.normalise_name(F.col("train_name"))
-    t = table(spark, d, "trains").where(name.contains("exp") & name.contains("kul"))
-    n = table(spark, d, "trains").where(F.col("train_number").startswith("10001"))
-    return t.select("train_number", F.lit("words").alias("by")).unionByName(n.select("train_number", F.lit("number").alias("by")))
+    t = tt.searchable(table(spark, d, "trains"), table(spark, d, "stops"), MONTH_DAY, ["updated_at"])
+    words = t.where(F.col("search_name").contains("exp") & F.col("search_name").contains("kul"))
+    number = t.where(F.col("train_number").startswith("10001"))
+    return words.select("train_number", F.lit("words").alias("by")).unionByName(number.select("train_number", F.lit("number").alias("by")))
 
 
 def n01_direct_trains(spark, d):
@@ -138,14 +138,14 @@ def n01_direct_trains(spark, d):
 def n03_two_leg_connections(spark, d):
     p = stage(_placed(spark, d), "placed")
     a, b = _ends(p)
-    j = tt.connections(stage(tt.legs(p, table(spark, d, "trains")), "legs"), a, b, limit=20)
+    j = tt.connections(tt.legs(p, table(spark, d, "trains")), a, b, placed=p, limit=20)
     return j.select(F.array_join("trains", ">").alias("trains"), F.array_join("changes", ">").alias("changes"), "total", "works_on")
 
 
 def n04_three_leg_connections(spark, d):
     p = stage(_placed(spark, d), "placed")
     a, b = _ends(p)
-    j = tt.connections(stage(tt.legs(p, table(spark, d, "trains")), "legs"), a, b, legs_max=3, calls=p.where("halts"), placed=p, limit=20)
+    j = tt.connections(tt.legs(p, table(spark, d, "trains")), a, b, legs_max=3, calls=p.where("halts"), placed=p, limit=20)
     return j.select(F.array_join("trains", ">").alias("trains"), F.array_join("changes", ">").alias("changes"), "total", "works_on", "n_legs")
 
 
@@ -289,20 +289,10 @@ sc as (select code, case when code = 'KUL JUNCTION' then 100 when nm = 'kul jn'
   when len([w for w in string_split(nm, ' ') if starts_with(w, 'kul')]) > 0 and len([w for w in string_split(nm, ' ') if starts_with(w, 'jn')]) > 0 then 50
   when contains(nm, 'kul jn') then 20 else 0 end score from n)
 select code, cast(max(score) as int) score, coalesce((select count(*) from placed where station_code = code and halts), 0) calls from sc where score > 0 group by code order by score desc, calls desc, code limit 10""",
-    "j05_status_category": f"""with x as (select search_id, upper(split_part({STATUS}[search_id % {len(STATUS)} + 1], '/', -1)) t from search_trains)
-select search_id, case when regexp_matches(t, '^(AVAILABLE|AVBL|CURR_AVBL)') then 'available' when contains(t, 'RAC') then 'rac' when contains(t, 'WL') then 'waitlist'
-when regexp_matches(t, '^(REGRET|NOT AVAILABLE|TRAIN CANCELLED|TRAIN DEPARTED|CLASS NOT EXIST)') then 'not_available' else 'unknown' end category from x""",
-    "j10_parse_classes": """with x as (select segment_id, regexp_replace(classes_raw, '[^0-9A-Za-z]', '', 'g') t from segments),
-y as (select segment_id, t, regexp_extract_all(t, '1A|2A|3A|3E|EC|CC|FC|SL|2S') v from x)
-select segment_id, case when t <> '' and array_to_string(v, '') = t then array_to_string([c for c in ['1A','2A','3A','3E','EC','CC','FC','SL','2S'] if list_contains(v, c)], ' ') end classes from y""",
-    "j11_parse_days": "with m as (select unnest([" + ", ".join(f"'{f}'" for v in text.DAY_FORMS.values() for f in v) + "]) f, unnest([" + ", ".join(str(1 << i) for i, d in enumerate(clock.WEEKDAYS) for _ in text.DAY_FORMS[d]) + r"""]) b),
-x as (select segment_id, lower(trim(days_raw, ' ')) t from segments),
-y as (select segment_id, t, regexp_extract(t, '^(?:except|ex\.?)\s+(.+)$', 1) e from x),
-z as (select segment_id, t, coalesce(e, '') <> '' ex, [w for w in regexp_split_to_array(case when coalesce(e, '') <> '' then e else t end, '[^a-z0-9]+') if w <> ''] w from y),
-k as (select segment_id, count(*) n, count(b) found, bit_or(b) mask from (select segment_id, unnest(w) w from z) left join m on w = f group by 1)
-select z.segment_id, cast(case when t = 'daily' then 127 when regexp_full_match(t, '[01]{7}') then """ + " + ".join(f"case when t[{i + 1}] = '1' then {1 << i} else 0 end" for i in range(7)) + """
-when n = found then case when ex then 127 - mask else mask end end as int) mask from z left join k using (segment_id)""",
-    "j12_train_kind": "select case " + " ".join(f"when regexp_matches(upper(train_name), '{p}') then '{k}'" for k, p in text.TRAIN_KINDS) + " end kind, train_type, count(*) n from trains group by 1, 2",
+    "j05_status_category": f"""with y as (select search_id, {STATUS}[search_id % {len(STATUS)} + 1] a from search_trains), x as (select *, trim(split_part(a, '/', -1)) t from y)
+select search_id, case when regexp_matches(a, 'REGRET|NOT AVAILABLE|DEPARTED|CANCEL|NOT EXIST|CLOSED') then 'not_available' when regexp_matches(t, '^(AVAILABLE|AVL|CURR_AVBL)\\b') then 'available'
+when regexp_matches(t, '^RAC\\b') then 'rac' when regexp_matches(t, '^[A-Z]*WL') then 'waitlist' else 'unknown' end category from x""",
+    "j12_train_kind": "select case " + " ".join(f"when regexp_matches(lower(train_name), '{p}') then '{k}'" for k, p in text.TRAIN_KINDS) + " end kind, train_type, count(*) n from trains group by 1, 2",
     "j14_nearby_haversine": f"""with {S}, c as (select station_code, count(*) calls from s0 where station_code is not null and coalesce(arr, dep) is not null group by 1),
 k as (select station_id, code, 2 * 6371 * asin(least(1.0, sqrt(pow(sin((radians(lat) - radians(22.0)) / 2), 2) + cos(radians(22.0)) * cos(radians(lat)) * pow(sin((radians(lon) - radians(80.0)) / 2), 2)))) d
   from stations where lat between 6 and 37.5 and lon between 68 and 97.5)
@@ -314,10 +304,11 @@ where valid_from is null or valid_to is null or case when valid_from <= valid_to
 select a.train_number, a.pos, cast(coalesce(dep_abs, arr_abs) % 1440 as int) clock, cast({_shift('mask', 'coalesce(dep_abs, arr_abs) // 1440')} as int) calls_on
 from placed a left join t using (train_number) where halts and station_code = (select c from ends where r = 1)
 and exists (select 1 from placed b where b.train_number = a.train_number and b.halts and b.pos > a.pos and b.station_code = (select c from ends where r = 2))""",
-    "f08_train_search": r"""with x as (select train_number, trim(regexp_replace(regexp_replace(lower(train_name), '[().,''’\-/]', ' ', 'g'), '\s+', ' ', 'g')) nm from trains)
+    "f08_train_search": r"""with e as (select train_number, min_by(station_name, seq) a, max_by(station_name, seq) b from stops group by 1),
+x as (select t.train_number, trim(regexp_replace(regexp_replace(lower(concat_ws(' ', train_name, a, b)), '[().,''’\-/]', ' ', 'g'), '\s+', ' ', 'g')) nm from trains t left join e on e.train_number = t.train_number)
 select train_number, 'words' as "by" from x where contains(nm, 'exp') and contains(nm, 'kul') union all select train_number, 'number' from trains where starts_with(train_number, '10001')""",
     "n01_direct_trains": WITH + f", {LEGS} select * from legs",
-    "n03_two_leg_connections": WITH + f", {ENDS}, {LEGS}, {_F1}, two as (select *, cast(m1 & ({_shift('m2', '-sh')}) as int) works from two0)" + """
+    "n03_two_leg_connections": WITH + f", {ENDS}, {LEGS}, {_F1}, {_CALLS}, ab as (select c a, (select c from ends where r = 2) b from ends where r = 1), two as (select *, cast(m1 & ({_shift('m2', '-sh')}) as int) works from two0, ab where {_dominated(['t1', 't2'], ['ab.a', 'x'], ['x', 'ab.b'])})" + """
 select t1 || '>' || t2 trains, x changes, cast(total as int) total, works works_on from (select *, row_number() over (partition by t1, t2 order by total, x) r from two where works is null or works > 0)
 where r = 1 order by total, t1, t2 limit 20""",
     "n04_three_leg_connections": WITH + f", {ENDS}, {LEGS}, {_F1}, {_CALLS}" + f""",

@@ -57,7 +57,9 @@ def test_clock_window_and_legs(spark):
 def test_text_clocks(spark):
     assert one(spark, clock.dotted_minutes(L("43.25"))) == 2605
     assert one(spark, clock.printed_clock(L("24.00"))) == 0
-    assert [one(spark, clock.signed_delay(L(x))) for x in ("On Time", "-00:05", "01:10", " ")] == [0, -5, 70, None]
+    assert [one(spark, clock.signed_delay(L(x))) for x in ("On Time", "-00:05", "01:10", " ", "-", "100:00")] == [0, -5, 70, None, None, 6000]
+    with pytest.raises(Exception, match="unrecognised delay"):
+        one(spark, clock.signed_delay(L("00:75")))
     assert one(spark, clock.is_iso_date(L("2026-02-30"))) is False
 
 
@@ -67,7 +69,11 @@ def test_names_and_lists(spark):
     assert [score("ABC", "alpha jn", q) for q in ("abc", "Alpha Junction", "alp", "jn al", "AB", "pha", "zz")] == [100, 90, 70, 50, 30, 20, 0]
     assert one(spark, text.parse_classes(L("SL2A/1A"))) == ["1A", "2A", "SL"]
     assert one(spark, text.parse_classes(L("SLX"))) is None
-    assert [one(spark, text.parse_days(L(x).cast("string"))) for x in ("Daily", "Ex. Su", "Mo, Tu", "0000001", "Mo, ??x", None)] == [127, 63, 3, 64, None, None]
+    assert [one(spark, text.parse_days(L(x).cast("string"))) for x in ("Daily", "Ex. Su", "Exc Su", "Mo, Tu", "M;W & F", "0000001", "Mo-Tu", "Mo, ??x", "", None)] == [127, 63, 63, 3, 21, None, None, None, None, None]
+    assert [one(spark, text.bit_days(L(x).cast("string"))) for x in ("0000001", " 1100000", "110000", "Daily", None)] == [64, 3, None, None, None]
+    assert [one(spark, text.parse_classes(L(x).cast("string"))) for x in ("SL EC", "SL GEN", "gen", "3A(E),3AE 1a", "", None)] == [["SL", "EC"], ["SL"], [], ["1A", "3E"], None, None]
+    assert [one(spark, text.train_kind(L(x))) for x in ("Alpha Jan Shatabdi", "B Vande Bharat Exp", "C SF Exp", "D Mail Express", "E")] == ["Jan Shatabdi", "Vande Bharat", "SF", "Mail", None]
+    assert [one(spark, text.status_category(L(x))) for x in ("REGRET/WL99", "AVL 7", "AVBL 7", "XRAC 1", "GNWL3/RAC 4", "PQWL 2", "chart closed/AVL")] == ["not_available", "available", "unknown", "unknown", "rac", "waitlist", "not_available"]
     assert one(spark, text.flag_values(L("101"), ["1A", "2A", None])) is None
     assert one(spark, text.flag_values(L("110"), ["1A", "2A", None])) == ["1A", "2A"]
     assert one(spark, text.cell_text(L("<td> a&nbsp;<b>b</b> &amp; c</td>"))) == "a b & c"

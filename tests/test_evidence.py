@@ -76,3 +76,21 @@ def test_cross_check(spark):
     f = spark.createDataFrame(rows, "k string, source string, value double, span int")
     got = {r["k"]: r["status"] for r in punctuality.cross_check(f, "x", ["k"]).collect()}
     assert got == {"a": "corroborated", "b": "conflict", "c": "not_checked", "d": "single_source", "e": "not_comparable"}
+
+
+def test_uncounted_items_are_not_checked(spark):
+    f = spark.createDataFrame([("a", "single_source", False), ("b", "single_source", False), ("b", "single_source", True), ("c", "conflict", False)], "item string, status string, counted boolean")
+    assert {r["item"]: r["overall"] for r in evidence.roll_up(f, ["item"]).collect()} == {"a": "not_checked", "b": "single_source", "c": "conflict"}
+
+
+def test_dependent_positions_are_no_evidence(spark):
+    p = spark.createDataFrame([("a", 1, 1.0, 2.0, False), ("a", 2, 1.0, 2.0, True), ("a", 3, 1.0, 2.0, True), ("a", 4, 5.0, 2.0, True)], "code string, prio int, lat double, lon double, independent boolean")
+    assert {r["prio"]: r["counted"] for r in evidence.copied_positions(p, ["code"]).collect()} == {1: False, 2: True, 3: False, 4: True}
+
+
+def test_merge_three_sources(spark):
+    rides = [("1", "a", 10), ("1", "b", 11), ("1", "c", 10), ("1", "c", 11), ("2", "b", 5), ("2", "b", 5), ("2", "c", 5)]
+    df = spark.createDataFrame(rides, "train_number string, source string, dep int")
+    got = sorted((r["train_number"], r["source"], r["visit"], tuple(r["matched"]), tuple(r["missing"])) for r in evidence.merge_visits(df, ["a", "b", "c"]).collect())
+    assert got == [("1", "a", 0, ("b", "c"), ()), ("1", "c", 1, (), ("a", "b")), ("2", "b", 0, ("c",), ("a",)), ("2", "b", 1, (), ("a", "c"))]
+    assert evidence.merge_visits(df.limit(0), ["a", "b"]).count() == 0

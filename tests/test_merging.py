@@ -36,12 +36,13 @@ def test_choice_and_verdicts(spark):
     pos = spark.createDataFrame([("A", 20.0, 75.0), ("B", 20.0, 76.0), ("N", 20.0, 75.5), ("M", 20.0, 75.6), ("F", 25.0, 75.5)], "code string, lat double, lon double")
     sup = spark.createDataFrame([("A", "B", "M", 3)], "before string, after string, code string, n long")
     assert sorted((r["train_number"], r["code"], r["how"]) for r in m.choose_by_detour(gaps, cand, pos, sup).collect()) == [("t", "N", "detour"), ("u", "M", "support")]
-    p = spark.createDataFrame([(0.5, True, None, None, None, True), (0.5, None, None, None, None, None), (6.0, True, True, True, None, None), (0.1, True, None, None, True, True), (None, True, None, None, None, None)], "km double, same_name boolean, same_route boolean, duplicate boolean, live_a boolean, live_b boolean")
-    assert [r["verdict"] for r in m.pair_verdicts(p).collect()] == ["accepted", "open", "rejected", "rejected", "open"]
+    rows = [(0.5, None, True, False, True), (0.5, None, None, False, True), (6.0, True, True, False, True), (0.1, True, True, True, True), (None, True, True, False, True), (0.1, True, True, None, True), (0.1, True, True, False, False)]
+    p = spark.createDataFrame(rows, "km double, same_route boolean, duplicate boolean, live_a boolean, live_b boolean")
+    assert [r["reason"] for r in m.pair_verdicts(p).collect()] == ["accepted", "too little evidence", "far apart", "both in use", "too little evidence", "status unknown", "too little evidence"]
 
 
 def test_consistent(spark):
-    s = "k string, station_code string, at int"
-    a = spark.createDataFrame([("x", "A", 1), ("x", "B", 2), ("y", "A", 1)], s)
-    b = spark.createDataFrame([("x", "A", 1), ("x", "B", 3), ("x", "B", 2), ("y", "A", 2)], s)
-    assert sorted((r["k"], r["consistent"]) for r in m.consistent_times(a, b, ["k"]).collect()) == [("x", True), ("y", False)]
+    s = "k string, station_code string, arr int, dep int"
+    a = spark.createDataFrame([("x", "A", None, 1), ("x", "B", 2, 3), ("y", "A", 1, 2), ("z", "A", None, 5), ("n", "A", 1, 1)], s)
+    b = spark.createDataFrame([("x", "A", None, 1), ("x", "B", None, 3), ("y", "A", 1, 3), ("z", "A", 5, None), ("m", "A", 1, 1)], s)
+    assert sorted((r["k"], r["shared"], r["consistent"]) for r in m.consistent_times(a, b, ["k"]).collect()) == [("x", 2, True), ("y", 1, False), ("z", 1, True)]
