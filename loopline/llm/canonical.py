@@ -3,32 +3,56 @@
 A symmetric-delete dictionary of the reference names finds every entry within a bounded edit
 distance of a typed base name by equality of deletion variants; the hits are ranked by
 weighted Damerau-Levenshtein cost, then by how often the entry is used. Only distinct typed
-values are looked up, so a value typed a billion times costs one lookup.
+values are read, and only distinct base names looked up, so a value typed a billion times
+costs one lookup. Variants are made, hashed and joined by built-in functions; Python reads
+the names and weighs the few inexact hits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopline.llm.names import near, read_name
+from loopline.session import stage
 
 VOWELS = set("aeiou")
-LOOKUP = "typed string, base string, qualifier string, entry bigint, matched string, edits int, cost double"
 
 
-def deletes(base: str, most: int) -> set[str]:
-    """The base and every string made by deleting up to ``most`` of its letters."""
-    out = {base}
-    for k in range(1, min(most, max(0, len(base) - 1)) + 1):
-        out.update("".join(c for i, c in enumerate(base) if i not in gone) for gone in map(set, combinations(range(len(base)), k)))
-    return out
+def deletes(base: Column, most: int) -> Column:
+    """The base and every string made by deleting up to ``most`` of its letters, at least one letter being left."""
+    def one(text: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
 
+    none = F.array().cast("array<string>")
+    out = last = F.array(base)
+    for k in range(1, most + 1):
+        last = F.when(F.length(base) > k, F.array_distinct(F.flatten(F.transform(last, one)))).otherwise(none)
+        out = F.concat(out, last)
+    return F.array_distinct(out)
 
+
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """Hash-partitioned with a fixed number of tasks, as small rows that cost much time must not be coalesced by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def parsed(values: DataFrame, text: str) -> DataFrame:
+    """``values`` with ``base``, ``qualifier`` and ``wide`` of a name column; unreadable names have an empty base."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            names = [read_name(t) for t in b[text]]
+            yield b.assign(base=[n.base for n in names], qualifier=[n.qualifier for n in names], wide=[n.city_wide for n in names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema)
+    return _spread(values, text).mapInPandas(run, f"{schema}, base string, qualifier string, wide boolean")
+
+
+@lru_cache(maxsize=100_000)
 def weighted_cost(a: str, b: str) -> float:
     """Damerau-Levenshtein cost where vowel slips (0.6) and transpositions (0.8) weigh less than 1."""
     before: list[float] = []
@@ -45,92 +69,53 @@ def weighted_cost(a: str, b: str) -> float:
     return last[-1]
 
 
-def index_of(names: list[tuple[int, str, int]], most: int) -> dict[tuple[str, str], list[tuple[str, int, int]]]:
-    """Deletion variant and qualifier -> (base, uses, entry) of every reference name having it."""
-    out: dict[tuple[str, str], list[tuple[str, int, int]]] = {}
-    for entry, name, uses in names:
-        n = read_name(name)
-        if n.base:
-            for v in deletes(n.base, most):
-                out.setdefault((v, n.qualifier), []).append((n.base, uses, entry))
-    return out
-
+def _near(pairs: DataFrame, most: int) -> DataFrame:
+    """``pairs`` of ``base`` and ``matched`` at most ``most`` edits apart, with ``edits`` and ``cost``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.assign(edits=[near(x, y, most) for x, y in zip(b["base"], b["matched"])])
+            b = b[b["edits"] <= most]
+            yield b.assign(cost=[weighted_cost(x, y) for x, y in zip(b["base"], b["matched"])])
 
-def best(base: str, qualifier: str, hits: set[tuple[str, int, int]], most: int) -> tuple[int, str, int, float] | None:
-    """(entry, its base, edits, cost) of the cheapest hit; ties go to the more used, then the smaller entry."""
-    ranked = [(weighted_cost(base, b), -uses, entry, b, e) for b, uses, entry in hits if (e := near(base, b, most)) <= most]
-    if not ranked:
-        return None
-    cost, _, entry, b, e = min(ranked)
-    return entry, b, e, cost
+    # a transposition is one edit here and two to the built-in function
+    pairs = pairs.where(F.levenshtein("base", "matched", 2 * most) >= 0)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
+    return _spread(pairs, "base", "matched").mapInPandas(run, f"{schema}, edits int, cost double")
 
 
-def lookup(typed: DataFrame, reference: DataFrame, most: int = 2, broadcast_names: int = 200_000) -> DataFrame:
+def lookup(typed: DataFrame, reference: DataFrame, most: int = 2, broadcast_bytes: int = 64_000_000) -> DataFrame:
     """Each distinct typed value with its entry, or nulls for a miss.
 
     ``typed`` has the string column ``typed``; ``reference`` has ``entry`` (bigint), ``name``
     and ``uses`` (bigint). Columns of the result: ``typed, base, qualifier, entry, matched,
-    edits, cost``. The dictionary is broadcast when the reference is counted to hold at most
-    ``broadcast_names`` names; a longer list is joined on the variants instead, with the same
-    result. Null, empty and unreadable values are misses; an empty reference makes all misses.
+    edits, cost``. Names that stand for all stations of a town are no entry and mean none. The
+    dictionary is broadcast if its counted rows take at most ``broadcast_bytes``; beyond that
+    the same join shuffles. Null, empty and unreadable values are misses; an empty reference
+    makes all misses.
     """
-    values = typed.select("typed").distinct()
+    values = stage(parsed(typed.select("typed").distinct(), "typed"), "typed-values")
+    sayable = (F.col("base") != "") & ~F.col("wide")
     names = reference.select("entry", "name", F.coalesce("uses", F.lit(0)).alias("uses")).where("name is not null and entry is not null")
-    if names.limit(broadcast_names + 1).count() > broadcast_names:
-        return _lookup_by_join(values, names, most)
-    index = index_of([(r["entry"], r["name"], r["uses"]) for r in names.collect()], most)
-    shared = values.sparkSession.sparkContext.broadcast(index)
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = shared.value
-        for batch in batches:
-            rows = []
-            for text in batch["typed"]:
-                n = read_name(text)
-                hits = {h for v in deletes(n.base, most) for h in table.get((v, n.qualifier), ())} if n.base and not n.city_wide else set()
-                hit = best(n.base, n.qualifier, hits, most)
-                rows.append((text, n.base, n.qualifier, *(hit or (None, None, None, None))))
-            yield _frame(rows)
-
-    return values.mapInPandas(find, LOOKUP)
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    f = pd.DataFrame(rows, columns=["typed", "base", "qualifier", "entry", "matched", "edits", "cost"])
-    return f.astype({"entry": "Int64", "edits": "Int32", "cost": "Float64"})
-
-
-def _variants(df: DataFrame, text: str, most: int) -> DataFrame:
-    """Adds ``base``, ``qualifier`` and exploded ``variant`` of a name column; unreadable names have no variant."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parsed = [read_name(t) for t in b[text]]
-            b = b.assign(base=[n.base for n in parsed], qualifier=[n.qualifier for n in parsed])
-            b["variant"] = [sorted(deletes(n.base, most)) if n.base and not n.city_wide else [] for n in parsed]
-            yield b
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{schema}, base string, qualifier string, variant array<string>").withColumn("variant", F.explode_outer("variant"))
-
-
-def _lookup_by_join(values: DataFrame, names: DataFrame, most: int) -> DataFrame:
-    left = _variants(values, "typed", most)
-    right = _variants(names, "name", most).select(F.col("base").alias("matched"), "qualifier", "variant", "entry", "uses").where("variant is not null").distinct()
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            edits = [near(x, y, most) for x, y in zip(b["base"], b["matched"])]
-            b = b.assign(edits=edits, cost=[weighted_cost(x, y) for x, y in zip(b["base"], b["matched"])])
-            yield b[b["edits"] <= most]
-
-    pairs = left.join(right, ["variant", "qualifier"]).select("typed", "base", "qualifier", "entry", "matched", "uses").distinct()
-    scored = pairs.mapInPandas(score, "typed string, base string, qualifier string, entry bigint, matched string, uses bigint, edits int, cost double")
-    top = scored.groupBy("typed").agg(
-        F.min(F.struct("cost", (-F.col("uses")).alias("u"), "entry", "matched", "edits")).alias("top")
-    )
-    return left.select("typed", "base", "qualifier").distinct().join(
-        top.select(F.col("typed").alias("t"), "top.*"), F.col("typed").eqNullSafe(F.col("t")), "left"
-    ).select("typed", "base", "qualifier", "entry", "matched", "edits", "cost")
+    names = parsed(names, "name").where(sayable).groupBy(F.col("base").alias("matched"), "qualifier", "entry").agg(F.max("uses").alias("uses"))
+    names = stage(names, "reference-names")
+    rank = F.min(F.struct("cost", (-F.col("uses")).alias("unused"), "entry", "matched", "edits")).alias("top")
+
+    wanted = values.where(sayable).select("base", "qualifier").distinct()
+    # a base that stands in the list costs nothing, so nothing can be nearer: only the others need variants
+    same = names.withColumn("base", F.col("matched")).withColumns({"edits": F.lit(0), "cost": F.lit(0.0)})
+    exact = wanted.join(same, ["base", "qualifier"]).groupBy("base", "qualifier").agg(rank)
+    key = F.xxhash64("variant", "qualifier").alias("key")
+    dictionary = stage(names.withColumn("variant", F.explode(deletes(F.col("matched"), most))).select(key, F.col("qualifier").alias("q"), "matched", "entry", "uses"), "dictionary")
+    size = dictionary.agg(F.count(F.lit(1)), F.sum(F.length("matched") + F.length("q"))).first()
+    if 64 * size[0] + 4 * (size[1] or 0) <= broadcast_bytes:
+        dictionary = F.broadcast(dictionary)
+    tried = wanted.join(names.select(F.col("matched").alias("base"), "qualifier").distinct(), ["base", "qualifier"], "left_anti")
+    tried = tried.withColumn("variant", F.explode(deletes(F.col("base"), most))).select("base", "qualifier", key)
+    pairs = tried.join(dictionary, "key").where("qualifier = q").select("base", "qualifier", "matched", "entry", "uses").distinct()
+    inexact = _near(pairs, most).groupBy("base", "qualifier").agg(rank)
+    hits = exact.unionByName(inexact).select(F.col("base").alias("b"), F.col("qualifier").alias("q"), "top.*")
+    found = values.join(hits, (F.col("base") == F.col("b")) & (F.col("qualifier") == F.col("q")) & ~F.col("wide"), "left")
+    return stage(found.select("typed", "base", "qualifier", "entry", "matched", "edits", "cost"), "found-names")
 
 
 def without_rivals(found: DataFrame, rivals: DataFrame) -> DataFrame:
@@ -141,17 +126,11 @@ def without_rivals(found: DataFrame, rivals: DataFrame) -> DataFrame:
     within k - 1 edits. Both sides meet on deletion variants of one letter at most, in a
     shuffled join, so the rival list may be of any size.
     """
-    doubtful = found.where("edits > 0").select("typed", "base", "matched", "edits")
-    bases = rivals.select(F.col("name").alias("typed")).where("typed is not null").distinct()
-    r = _variants(bases, "typed", 1).select(F.col("base").alias("rival"), "variant").where("variant is not null").distinct()
-    hits = _variants(doubtful.select("typed", "matched", "edits"), "typed", 1).join(r, "variant").where("rival <> matched").select("typed", "base", "rival", "edits").distinct()
-
-    def closer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = [near(x, y, 2) < e for x, y, e in zip(b["base"], b["rival"], b["edits"])]
-            yield b.loc[keep, ["typed"]]
-
-    lost = hits.mapInPandas(closer, "typed string").distinct().withColumn("lost", F.lit(True))
-    gone = F.coalesce("lost", F.lit(False))
+    doubtful = found.where("edits > 0").select("base", "matched", "edits").distinct()
+    variant = lambda df, c: df.withColumn("variant", F.explode(deletes(F.col(c), 1)))
+    r = parsed(rivals.select("name").where("name is not null").distinct(), "name").where("base <> '' and not wide").select(F.col("base").alias("rival")).distinct()
+    close = variant(doubtful, "base").join(variant(r, "rival"), "variant").where("rival <> matched").select("base", F.col("matched").alias("taken"), F.col("edits").alias("slips"), F.col("rival").alias("matched")).distinct()
+    lost = _near(close, 1).where("edits < slips").select(F.col("base").alias("b"), F.col("taken").alias("m")).distinct()
+    gone = F.col("b").isNotNull()
     blank = [F.when(~gone, F.col(c)).alias(c) for c in ("entry", "matched", "edits", "cost")]
-    return found.join(lost, "typed", "left").select("typed", "base", "qualifier", *blank)
+    return found.join(lost, (F.col("base") == F.col("b")) & (F.col("matched") == F.col("m")), "left").select("typed", "base", "qualifier", *blank)

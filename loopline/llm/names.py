@@ -50,6 +50,8 @@ class Name(NamedTuple):
 
 def plain(text: str) -> str:
     """Lower case without accents, invisible characters, apostrophes and lookalike letters."""
+    if text.isascii():
+        return re.sub("['`]", "", text.lower())
     text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text)).lower()
     text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf", "Me"))
     return re.sub("['’`´]", "", text.translate(LOOKALIKES))

@@ -28,21 +28,21 @@ def test_near_is_damerau_levenshtein():
 
 # ---- canonical names -------------------------------------------------------
 
-REFERENCE = [(1, "Kadmilpur Junction", 5), (2, "Kadmilpur", 1), (3, "Gomtibandh", 9), (4, "Gomtibendh", 1), (5, None, 1)]
-TYPED = ["kadmilpur jn", "Kadmiplur Jn.", "kadmilpur road", "GOMTIBINDH", "Gomtibandhh", "zzzzzzzz", None, "", "kadmilpur jn"]
+REFERENCE = [(1, "Kadmilpur Junction", 5), (2, "Kadmilpur", 1), (3, "Gomtibandh", 9), (4, "Gomtibendh", 1), (5, None, 1), (6, "Mavtimenpur All stations", 9)]
+TYPED = ["Mavtimenpur", "All stations Kadmilpur", "kadmilpur jn", "Kadmiplur Jn.", "kadmilpur road", "GOMTIBINDH", "Gomtibandhh", "zzzzzzzz", None, "", "kadmilpur jn"]
 
 
-@pytest.mark.parametrize("limit", [100, 1])
+@pytest.mark.parametrize("limit", [64_000_000, 0])
 def test_lookup(spark, limit):
     ref = spark.createDataFrame(REFERENCE, "entry bigint, name string, uses bigint")
     typed = spark.createDataFrame([(t, 0) for t in TYPED], "typed string, base int")
-    got = {r["typed"]: (r["entry"], r["edits"]) for r in canonical.lookup(typed, ref, broadcast_names=limit).collect()}
+    got = {r["typed"]: (r["entry"], r["edits"]) for r in canonical.lookup(typed, ref, broadcast_bytes=limit).collect()}
     assert got == {
         "kadmilpur jn": (1, 0), "Kadmiplur Jn.": (1, 1), "kadmilpur road": (None, None), "GOMTIBINDH": (3, 1), "Gomtibandhh": (3, 1),
-        "zzzzzzzz": (None, None), None: (None, None), "": (None, None),
+        "Mavtimenpur": (None, None), "All stations Kadmilpur": (None, None), "zzzzzzzz": (None, None), None: (None, None), "": (None, None),
     }
-    assert canonical.lookup(typed.limit(0), ref, broadcast_names=limit).count() == 0
-    assert {r["entry"] for r in canonical.lookup(typed, ref.limit(0), broadcast_names=limit).collect()} == {None}
+    assert canonical.lookup(typed.limit(0), ref, broadcast_bytes=limit).count() == 0
+    assert {r["entry"] for r in canonical.lookup(typed, ref.limit(0), broadcast_bytes=limit).collect()} == {None}
 
 
 def test_rivals(spark):
@@ -52,8 +52,9 @@ def test_rivals(spark):
     assert got == {"Gomtibondo": None, "Gomtibandh": 3, "Gomtibanda": 3}
 
 
-def test_deletes():
-    assert canonical.deletes("abc", 2) == {"abc", "ab", "ac", "bc", "a", "b", "c"}
+def test_deletes(spark):
+    got = spark.createDataFrame([("abc",), ("x",), ("",), ("éa",)], "t string").select(canonical.deletes(F.col("t"), 2).alias("d")).collect()
+    assert [set(r["d"]) for r in got] == [{"abc", "ab", "ac", "bc", "a", "b", "c"}, {"x"}, {""}, {"éa", "é", "a"}]
 
 
 # ---- matching --------------------------------------------------------------
