@@ -1,11 +1,12 @@
 """All pairs of points within a distance, by overlapping latitude strips and a local sweep.
 
-Strips are cut at quantiles of the latitude so that each holds about as many locations; a
-location is copied into the strips above which it lies by at most the radius. Each strip is
-sorted by latitude and swept with an active set ordered by longitude, and the strip of the
-lower location owns a pair, so no pair is seen twice. Rows at one place are one location
-while sweeping and come back by a join, so a place holding a large share of all rows costs
-the sweep one entry.
+Strips are cut at quantiles of the latitude, never thinner than the radius, and a strip that
+holds too many locations is cut into tiles by longitude, never narrower than a few radii. So
+a location is copied into one strip and one tile beside its own at most, however dense the
+points. Each tile is sorted by latitude and swept with an active set ordered by longitude, and
+the tile of the lower location owns a pair, so no pair is seen twice. Rows at one place are
+one location while sweeping and come back by a join, so a place holding a large share of all
+rows costs the sweep one entry.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from math import asin, cos, degrees, radians, sin, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loopline.session import stage
+
 EARTH_KM = 6371.0
 
 
@@ -59,43 +62,62 @@ def sweep(lat: np.ndarray, lon: np.ndarray, owned: np.ndarray, km: float) -> Ite
             insort(active, (x, i))
 
 
-def pairs_within(points: DataFrame, id_col: str, lat: str, lon: str, km: float, per_strip: int = 5000) -> DataFrame:
+def pairs_within(points: DataFrame, id_col: str, lat: str, lon: str, km: float, per_tile: int = 5000) -> DataFrame:
     """Pairs of different rows at most ``km`` apart, each once with the smaller id first.
 
-    Result: ``<id>_a``, ``<id>_b``, ``distance_km``. Rows with a null or non-finite position
-    are no points; rows at one place pair with each other at distance 0; repeated ids are
-    one row. Positions must not straddle the 180th meridian. ``per_strip`` is the intended
-    number of locations in a strip and sets only the work's granularity.
+    Result: ``<id>_a``, ``<id>_b``, ``distance_km``. Rows with a null or non-finite position, or
+    one off the globe, are no points; rows at one place pair with each other at distance 0;
+    repeated ids are one row. Pairs across the 180th meridian are found. ``per_tile`` is the
+    intended number of locations in a tile and sets only the work's granularity.
     """
     a, b = f"{id_col}_a", f"{id_col}_b"
     rows = points.select(F.col(id_col).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).where(
-        "id is not null and lat is not null and lon is not null and not isnan(lat) and not isnan(lon)"
-    ).distinct()
-    spots = rows.select("lat", "lon").distinct()
-    n = spots.count()
-    strips = max(1, -(-n // per_strip))
-    cuts = sorted(set(spots.approxQuantile("lat", [i / strips for i in range(1, strips)], 0.2 / strips))) if strips > 1 else []
+        "id is not null and lat between -90 and 90 and lon between -180 and 180"
+    )
+    rows = stage(rows.distinct(), "points")
+    spots = stage(rows.select("lat", "lon").distinct(), "spots")
     reach = degrees(km / EARTH_KM) * 1.0001 + 1e-9
+    n = spots.count()
+    strips = min(max(1, -(-n // per_tile)), 10_000)
+    cuts: list[float] = []
+    for cut in sorted(spots.approxQuantile("lat", [i / strips for i in range(1, strips)], 0.2 / strips)) if strips > 1 else []:
+        if not cuts or cut - cuts[-1] >= reach:
+            cuts.append(cut)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<struct<strip:int,own:boolean,cell:double>>")
     def strips_of(y: pd.Series) -> pd.Series:
-        first = np.searchsorted(cuts, y.to_numpy() - reach, side="right")
-        last = np.searchsorted(cuts, y.to_numpy(), side="right")
-        return pd.Series([[int(s) for s in range(l, f - 1, -1)] for f, l in zip(first, last)])
+        """The strips a location is in, its own first, with the width of their cells: four times the reach where it is widest."""
+        y = y.to_numpy()
+        first, last = np.searchsorted(cuts, y - reach, side="right"), np.searchsorted(cuts, y, side="right")
+        edge = np.maximum(np.abs(np.array([-90.0, *cuts])), np.abs(np.array([*cuts, 90.0]))) + reach
+        # the outermost strips reach as far as their points do, so their cells go by the points' own bounds
+        edge = np.minimum(edge, bound + reach)
+        cell = 4 * reach / np.maximum(1e-6, np.cos(np.radians(np.minimum(89.9, edge)))) * (1 + 1e-6)
+        return pd.Series([[(int(s), s == l, float(cell[s])) for s in range(l, f - 1, -1)] for f, l in zip(first, last)])
+
+    bound = spots.agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    copies = spots.select("lat", "lon", F.explode(strips_of("lat")).alias("s")).select("lat", "lon", "s.strip", "s.own", "s.cell")
+    copies = stage(copies.withColumn("at", F.floor((F.col("lon") + 180) / F.col("cell"))), "copies")
+    # tiles are runs of whole cells that hold about per_tile locations
+    upto = Window.partitionBy("strip").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    held = copies.where("own").groupBy("strip", "at").agg(F.count(F.lit(1)).alias("c"))
+    tiles = held.select("strip", "at", F.floor(F.coalesce(F.sum("c").over(upto), F.lit(0)) / per_tile).alias("tile"))
+    # a copy is needed in every cell its reach touches; around the meridian it goes once more by 360 degrees
+    wide = F.col("cell") / 4
+    turned = F.filter(F.array(F.lit(0.0), F.when(F.col("lon") + 180 < wide, 360.0), F.when(180 - F.col("lon") < wide, -360.0)), lambda t: t.isNotNull())
+    seen = copies.select("lat", "lon", "strip", "own", "cell", "at", F.explode(turned).alias("turn")).withColumn("x", F.col("lon") + F.col("turn"))
+    touched = F.array_distinct(F.transform(F.array(-wide, F.lit(0.0), wide), lambda o: F.floor((F.col("x") + o + 180) / F.col("cell"))))
+    seen = seen.select("lat", "lon", "strip", "x", (F.col("own") & (F.col("turn") == 0)).alias("own"), F.col("at").alias("home"), F.explode(touched).alias("at"))
+    placed = seen.join(tiles, ["strip", "at"]).groupBy("lat", "lon", "strip", "tile", "x").agg(F.bool_or(F.col("own") & (F.col("at") == F.col("home"))).alias("own"))
 
     def local(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["lat", "lon"], kind="stable")
-        y, x = part["lat"].to_numpy(), part["lon"].to_numpy()
+        part = part.sort_values(["lat", "x"], kind="stable")
+        y, x, true = part["lat"].to_numpy(), part["x"].to_numpy(), part["lon"].to_numpy()
         found = list(sweep(y.tolist(), x.tolist(), part["own"].to_numpy().tolist(), km))
         j, i = (np.array(v, dtype=int) for v in (zip(*found) if found else ((), ())))
-        return pd.DataFrame({"lat_a": y[j], "lon_a": x[j], "lat_b": y[i], "lon_b": x[i]})
+        return pd.DataFrame({"lat_a": y[j], "lon_a": true[j], "lat_b": y[i], "lon_b": true[i]})
 
-    near = (
-        spots.select("lat", "lon", F.posexplode(strips_of("lat")).alias("copy", "strip"))
-        .select("lat", "lon", "strip", (F.col("copy") == 0).alias("own"))
-        .groupBy("strip")
-        .applyInPandas(local, "lat_a double, lon_a double, lat_b double, lon_b double")
-    )
+    near = placed.groupBy("strip", "tile").applyInPandas(local, "lat_a double, lon_a double, lat_b double, lon_b double")
     ra = rows.select(F.col("id").alias("i"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
     rb = rows.select(F.col("id").alias("j"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
     apart = near.join(ra, ["lat_a", "lon_a"]).join(rb, ["lat_b", "lon_b"]).select(

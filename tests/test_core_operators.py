@@ -42,20 +42,32 @@ def test_pairs_within_equals_brute_force(spark):
     good = {p[0]: p[1:] for p in pts if p[1] is not None and p[1] == p[1]}
     want = sorted((a, b) for a in good for b in good if a < b and km(good[a], good[b]) <= 1.0)
     for strip in (5000, 40):
-        got = pairs_within(df, "id", "lat", "lon", 1.0, per_strip=strip)
+        got = pairs_within(df, "id", "lat", "lon", 1.0, per_tile=strip)
         assert sorted((r["id_a"], r["id_b"]) for r in got.collect()) == want
     assert pairs_within(df.limit(0), "id", "lat", "lon", 1.0).count() == 0
 
 
+def test_pairs_across_the_meridian_and_near_the_pole(spark):
+    rnd = random.Random(6)
+    pts = [(i, -10 + rnd.random() / 5, ((180 + (rnd.random() - 0.5) / 3 + 180) % 360) - 180) for i in range(300)]
+    pts += [(400 + i, 89.2 + rnd.random() / 2, rnd.random() * 360 - 180) for i in range(60)] + [(900, 91.0, 0.0), (901, 0.0, 181.0)]
+    df = spark.createDataFrame(pts, "id long, lat double, lon double")
+    want = sorted((a[0], b[0]) for a in pts[:-2] for b in pts[:-2] if a[0] < b[0] and km(a[1:], b[1:]) <= 4.0)
+    got = sorted((r["id_a"], r["id_b"]) for r in pairs_within(df, "id", "lat", "lon", 4.0, per_tile=20).collect())
+    assert got == want
+
+
 def test_split_values(spark):
     raw = ["1A, \"GEN / II\"; SL", "FC2A'3A (E)'", "\"Sat \"\"fog\"\" list\"+1", "0110000", " ; ,", None, "", "it's", "'' \" \" x", "SLsl", "é1 ü", "A" * 5000 + ",B", "x\ty\nz"]
     df = spark.createDataFrame(list(enumerate(raw)), "id int, raw string").withColumn("pos", F.lit(1)).withColumn("places", F.lit(2))
     got: dict = {}
     for r in sorted(split_values(df, ["id"], "raw").collect(), key=lambda r: (r["id"], r["pos"])):
         got.setdefault(r["id"], []).append(r["val"])
+    for few in ({"most_rules": 2}, {"most_rules": 0}, {"longest_rule": 3}):
+        assert rows(split_values(df, ["id"], "raw", **few)) == rows(split_values(df, ["id"], "raw"))
     assert got == {
         0: ["1A", "GEN / II", "SL"], 1: ["FC", "2A", "3A (E)"], 2: ['Sat "fog" list', "1"], 3: list("0110000"), 7: ["it", "s"], 8: ["x"],
         9: ["SLsl"], 10: ["é1", "ü"], 11: ["A" * 5000, "B"], 12: ["x", "y", "z"],
     }
     assert split_values(df.limit(0), ["id"], "raw").count() == 0
-    assert resolve("aa,'a") == [(1, 2, False), (5, 1, False)]
+    assert resolve("a,'a") == [(1, 1, False), (4, 1, False)]
