@@ -1,7 +1,8 @@
 """Connected components of pairwise links on a two-dimensional grid.
 
 Vertices are hashed into k blocks and every edge belongs to the grid cell of its two blocks,
-so a vertex with a huge share of the edges is spread over k cells. Each cell runs a local
+so a vertex with a huge share of the edges is spread over k cells, and a cell that still
+holds too many edges is cut into slices by a hash of the edge. Each cell or slice runs a local
 union-find; each vertex then takes the least of the representatives its row and column of
 cells gave it as parent. Representatives that got a smaller parent elsewhere are followed to
 the end of their chain by pointer doubling; every vertex with a parent leaves the graph, and
@@ -69,8 +70,9 @@ def components(pairs: DataFrame, a: str, b: str, cell_edges: int = 200_000, max_
 
     Links are undirected; repeated, reversed and self links are harmless, and a vertex with
     only a self link is its own component. Links with a null end are left out. No links give
-    no rows. ``cell_edges`` bounds the intended edges of a grid cell and thereby one task's
-    memory; the grid is made as large as the counted edges need.
+    no rows. ``cell_edges`` is the intended size of a grid cell; the grid is made as large as
+    the counted edges need, and a cell of more than twice as many, as a hub's, is sliced, so
+    one task holds a bounded part of the edges whatever their skew.
     """
     links = pairs.select(F.col(a).cast("string").alias("u"), F.col(b).cast("string").alias("v")).where("u is not null and v is not null")
     links = stage(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
@@ -81,10 +83,11 @@ def components(pairs: DataFrame, a: str, b: str, cell_edges: int = 200_000, max_
             raise RuntimeError("components did not settle")
         k = max(1 if parents else 2, math.ceil(math.sqrt(left / cell_edges)))
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-        reps = (
-            edges.withColumn("row", block("u")).withColumn("col", block("v"))
-            .groupBy("row", "col").applyInPandas(_cell, "v string, rep string")
-        )
+        placed = edges.withColumn("row", block("u")).withColumn("col", block("v"))
+        slices = F.ceil(F.col("count") / cell_edges).cast("int").alias("slices")
+        full = placed.groupBy("row", "col").count().where(F.col("count") > 2 * cell_edges).select("row", "col", slices)
+        placed = placed.join(full, ["row", "col"], "left").withColumn("part", F.pmod(F.xxhash64("u", "v"), F.coalesce("slices", F.lit(1))))
+        reps = placed.select("row", "col", "part", "u", "v").groupBy("row", "col", "part").applyInPandas(_cell, "v string, rep string")
         met = stage(reps.groupBy("v").agg(F.min("rep").alias("parent"), F.collect_set("rep").alias("reps")), "round")
         top = _tops(met.where("v <> parent and array_contains(reps, v)").select("v", "parent"))
         parents.append(stage(_mapped(met.where("v <> parent").select("v", "parent"), "parent", top), "parents"))
