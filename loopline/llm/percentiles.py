@@ -41,7 +41,7 @@ def _within(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("cum", F.sum("c").over(upto)).where("cum >= k and cum - c < k").select(*keys, "pct", "value")
 
 
-def percentiles(summary: DataFrame, by: list[str], pcts: list[int], block_values: int = 256) -> DataFrame:
+def percentiles(summary: DataFrame, by: list[str], pcts: list[int], block_values: int = 64) -> DataFrame:
     """``by``, ``n`` and one column ``p<pct>`` for each percentage: the value at rank ceil(pct * n / 100).
 
     This is the nearest-rank definition, always an observed value (the lower median for 50);
@@ -71,6 +71,11 @@ def percentiles(summary: DataFrame, by: list[str], pcts: list[int], block_values
     return out.select(*[F.col("g")[k].alias(b) for b, k in zip(by, keys)], "n", *[f"p{p}" for p in pcts])
 
 
+def _few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` to be broadcast if it is counted to have few rows; the rows of large groups are then read where they lie."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _multi_select(cells: DataFrame, big: DataFrame, pcts: list[int], block_values: int) -> DataFrame:
     ranks = F.array(*[F.struct(F.lit(p).alias("pct"), F.expr(f"(n * {p} + 99) div 100").alias("k")) for p in pcts])
     blocks = F.greatest(F.lit(1), F.ceil(F.col("d") / block_values)).cast("int")
@@ -88,7 +93,7 @@ def _multi_select(cells: DataFrame, big: DataFrame, pcts: list[int], block_value
     done: list[DataFrame] = []
     keys = ["h", "g", "pct"]
     while state.limit(1).count():
-        live = rows.join(state, ["h", "g"]).where("value > lo and value < hi")
+        live = rows.join(_few(state), ["h", "g"]).where("value > lo and value < hi")
         final = state.where(F.col("d") <= block_values).select(*keys)
         if final.limit(1).count():
             done.append(stage(_within(live.where(F.col("d") <= block_values), ["h", "g"]), "found"))
@@ -102,7 +107,7 @@ def _multi_select(cells: DataFrame, big: DataFrame, pcts: list[int], block_value
             proposed.withColumn("cum", F.sum("w").over(order)).withColumn("all", F.sum("w").over(Window.partitionBy(*keys)))
             .where("2 * cum >= all").groupBy(*keys).agg(F.min("pivot").alias("pivot"))
         )
-        counted = live.join(pivots, keys).groupBy(*keys, "pivot", "k", "lo", "hi").agg(
+        counted = live.join(_few(stage(pivots, "pivots")), keys).groupBy(*keys, "pivot", "k", "lo", "hi").agg(
             F.sum(F.when(F.col("value") < F.col("pivot"), F.col("c")).otherwise(0)).alias("lt"),
             F.sum(F.when(F.col("value") == F.col("pivot"), F.col("c")).otherwise(0)).alias("eq"),
             F.count(F.when(F.col("value") < F.col("pivot"), 1)).alias("below"),
@@ -122,8 +127,9 @@ def _multi_select(cells: DataFrame, big: DataFrame, pcts: list[int], block_value
             ),
             "state",
         )
-        ranges = state.select("h", "g", "lo", "hi")
-        kept = stage(rows.join(ranges, ["h", "g"]).where("value > lo and value < hi").select("h", "g", "value", "c", "block").distinct(), "hot")
+        ranges = state.groupBy("h", "g").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))  # one for each percentile at most
+        wanted = F.exists("ranges", lambda r: (F.col("value") > r["lo"]) & (F.col("value") < r["hi"]))
+        kept = stage(rows.join(_few(ranges), ["h", "g"]).where(wanted).select("h", "g", "value", "c", "block"), "hot")
         drop_stage(rows)
         rows = kept
     found = reduce(DataFrame.unionByName, done)
