@@ -12,6 +12,7 @@ table lookups; decoding emits the byte labels of the arcs.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from array import array
 from collections.abc import Iterator
@@ -163,19 +164,21 @@ class Automaton:
         return b"".join(self.label.get(i, b"") for i in ids).decode("utf-8", errors="replace")
 
 
-_compiled: dict[int, Automaton] = {}
+_compiled: dict[str, Automaton] = {}
 
 
-def _automaton(shared: Broadcast, key: int) -> Automaton:
+def _automaton(shared: Broadcast, key: str) -> Automaton:
     if key not in _compiled:
         _compiled.clear()
         _compiled[key] = Automaton(*shared.value)
     return _compiled[key]
 
 
-def _shared(df: DataFrame, path: str) -> tuple[Broadcast, int]:
-    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
-    return shared, id(shared)
+def _shared(df: DataFrame, path: str) -> tuple[Broadcast, str]:
+    """The vocabulary for the workers, and its digest: workers live on between queries and keep what they compiled by it."""
+    with open(path, "rb") as f:
+        digest = hashlib.sha256(f.read()).hexdigest()
+    return df.sparkSession.sparkContext.broadcast(read_vocabulary(path)), digest
 
 
 def encode(df: DataFrame, keys: list[str], text: str, path: str = VOCABULARY, flush: int = 1_000_000) -> DataFrame:

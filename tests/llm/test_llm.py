@@ -1,3 +1,4 @@
+import json
 import os
 import random
 import string
@@ -335,3 +336,26 @@ def test_spam_windows_are_not_mixed_by_clashing_names(spark):
     names = ["plain", "tokens", "bare", "lines", "groups", "judged", "share", "p", "t", "s", "w", "k"]
     df = spark.createDataFrame([("a", SPAM["tags"], *names)], ", ".join(f"{c} string" for c in ["doc", "text", *names]))
     assert [r["doc"] for r in spam.find_spam(df, "doc", "text").collect()] == ["a"]
+
+
+def test_two_vocabularies_in_one_session(spark, tmp_path):
+    """Workers live on between queries; each must use the vocabulary of its own query."""
+    letters = {c: i for i, c in enumerate(tokenizer.byte_letters())}
+    def write(name, merges):
+        vocab = letters | {a + b: 1000 + i for i, (a, b) in enumerate(merges)}
+        path = tmp_path / name
+        path.write_text(json.dumps({"model": {"vocab": vocab, "merges": [f"{a} {b}" for a, b in merges]}}), encoding="utf-8")
+        return str(path)
+
+    one, two = write("one.json", [("a", "b")]), write("two.json", [("b", "a"), ("b", "b")])
+    df = spark.createDataFrame([(1, "abab"), (2, None)], "i int, t string")
+    for _ in range(2):
+        assert [r["ids"] for r in tokenizer.encode(df, ["i"], "t", one).orderBy("i").collect()] == [[1000, 1000], []]
+        assert [r["ids"] for r in tokenizer.encode(df, ["i"], "t", two).orderBy("i").collect()] == [[letters["a"], 1000, letters["b"]], []]
+
+
+def test_hub_cells_are_sliced(spark):
+    """A star of many edges with tiny cells: slices of its cells still give one component."""
+    rows = [("hub", f"v{i:03d}") for i in range(300)] + [("x", "y"), ("y", "z")]
+    got = {r["vertex"]: r["component"] for r in components.components(spark.createDataFrame(rows, "a string, b string"), "a", "b", cell_edges=10).collect()}
+    assert got == {"hub": "hub"} | {f"v{i:03d}": "hub" for i in range(300)} | {c: "x" for c in "xyz"}
