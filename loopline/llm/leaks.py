@@ -4,8 +4,9 @@ Both sides are reduced to lower-case words. Character q-grams that a document sh
 item are counted per band of diagonals (document position minus item position), neighbouring
 half bands being added so that bands overlap. By the q-gram lemma a passage of L characters
 with e spoilt places keeps at least L + 1 - q (e + 1) common q-grams near one diagonal, so
-bands and items below that bound cannot hold a leak and are dropped. What is left is verified
-by a banded alignment of words around each kept band.
+bands and items below that bound cannot hold a leak and are dropped. The q-grams left are
+joined to runs on one diagonal, whose whole words bound what an alignment can match; what is
+left after that is verified by a banded alignment of words around the longest runs.
 """
 
 from __future__ import annotations
@@ -68,6 +69,12 @@ class Items:
         self.pos = (np.concatenate(pos) if pos else np.zeros(0, dtype=int))[order].astype(np.int64)
         self.need = np.array(need, dtype=np.int64)
         self.local = np.array(local, dtype=np.int64)
+        # the items' words in one row of places, to count the whole words of a run
+        sizes = [len(" ".join(w)) + rules.q for w in self.words]
+        self.offset = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.first_word = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
+        self.word_starts = np.concatenate([x + o for x, o in zip(self.starts, self.offset)] or [np.zeros(0, dtype=np.int64)])
+        self.word_ends = self.word_starts + np.array([len(x) for w in self.words for x in w], dtype=np.int64)
         self.sieve = np.zeros(1 << 22, dtype=bool)
         self.sieve[(self.codes >> np.uint64(42)).astype(np.int64)] = True
 
@@ -227,33 +234,101 @@ def scan(texts: list[str | None], index: Items) -> list[tuple[int, int, int]]:
     pairs, of = np.unique(pair, return_inverse=True)
     total = np.bincount(of, weights=count * strong, minlength=len(pairs))
     ok = (strong & (total >= index.need[pairs % n_items])[of])[inverse]
-    order = np.argsort((key // bins)[ok], kind="stable")
-    cand, d_at, i_at = (key // bins)[ok][order], dpos[ok][order], ipos[ok][order]
-    cuts = np.flatnonzero(np.diff(cand, prepend=-1))
     out = []
-    for lo, hi in zip(cuts, np.append(cuts[1:], len(cand))):
-        t, k = int(cand[lo]) // n_items, int(cand[lo]) % n_items
-        starts = np.cumsum([0] + [len(x) + 1 for x in words[t][:-1]])
-        item_word = np.searchsorted(index.starts[k], i_at[lo:hi], side="right")
-        line = np.searchsorted(starts, d_at[lo:hi], side="right") - item_word
-        lines, votes = np.unique(line, return_counts=True)
-        taken, covered = [], set()
-        for x in lines[np.argsort(-votes, kind="stable")].tolist():
-            if all(abs(x - y) > r.reach // 2 for y, _, _ in taken):
-                close = np.abs(line - x) <= r.reach // 2
-                if close.sum() < index.local[k]:
-                    continue
-                at_words = item_word[close]
-                taken.append((x, int(at_words.min()) - 1 - r.reach, int(at_words.max()) + r.reach))
-                covered.update(i_at[lo:hi][close].tolist())
-        if len(covered) < index.need[k]:
-            continue
-        n = leaked_words(words[t], index.words[k], taken, r)
+    for t, k, bands in regions((key // bins)[ok], dpos[ok], ipos[ok], words, index):
+        n = leaked_words(words[t], index.words[k], bands, r)
         if n >= r.words:
             out.append((t, k, n))
     return out
 
 
+def stretches(runs: list[tuple[int, int]], rules: Rules) -> list[tuple[int, int, int]]:
+    """(first item word, last, most matches) of what an alignment can make of the runs (item word, words) of one band.
+
+    An upper bound: a gap counts as if every second word of it matched, and extra words of the
+    document cost nothing.
+    """
+    out: list[tuple[int, int, int]] = []
+    begin = end = score = most = 0
+    for word, n in sorted(runs):
+        fresh = word + n - max(word, end) if most else n
+        if most and fresh <= 0:
+            continue
+        gap = max(0, word - end)
+        left = score - rules.penalty * (gap - gap // 2) + gap // 2
+        if most and left > 0:
+            score, most, end = left + fresh, most + fresh + gap // 2, word + n
+        else:
+            if most >= rules.piece:
+                out.append((begin, end - 1, most))
+            begin, end, score, most = word, word + n, n, n
+    if most >= rules.piece:
+        out.append((begin, end - 1, most))
+    return out
+
+
+def hopeful(found: list[tuple[int, int, int]], rules: Rules) -> bool:
+    """Whether stretches can be a leak: one long enough with what lies beyond its ends, two long ones, or pieces that follow one another."""
+    if any(most >= int(rules.least * rules.words) - 2 * rules.penalty for _, _, most in found):
+        return True
+    if sum(most >= rules.stretch for _, _, most in found) >= 2:
+        return True
+    found = sorted(found)
+    return any(0 < o[0] - s[1] <= 2 * rules.penalty for i, s in enumerate(found) for o in found[i + 1 :])
+
+
+def regions(pair: np.ndarray, dpos: np.ndarray, ipos: np.ndarray, words: list[list[str]], index: Items) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(text number, item number, bands to align) of pairs whose exact runs can make up a leak.
+
+    Common q-grams one after another on one diagonal are a run of equal characters and hold
+    so many whole words. A stretch never pays for a change before it has matched more words
+    than the penalty, so each holds a run of that many; nearly all words of a stretch lie in
+    runs of two words or more, and so do the matched words of a leak but for single words
+    between two changes. Pairs and bands short of these counts are dropped.
+    """
+    r, n_items = index.rules, len(index.words)
+    diagonal = dpos - ipos
+    order = np.lexsort((ipos, diagonal, pair))
+    pair, diagonal, ipos = pair[order], diagonal[order], ipos[order]
+    if not len(pair):
+        return
+    new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (diagonal[1:] != diagonal[:-1]) | (ipos[1:] != ipos[:-1] + 1)])
+    last = np.r_[new[1:], len(pair)] - 1
+    pair, diagonal, low, high = pair[new], diagonal[new], ipos[new], ipos[last] + r.q
+    item = pair % n_items
+    first = np.searchsorted(index.word_starts, index.offset[item] + low)
+    held = np.searchsorted(index.word_ends, index.offset[item] + high, side="right") - first
+    several = held >= 2
+    pair, diagonal, item, first, held = pair[several], diagonal[several], item[several], first[several], held[several]
+    if not len(pair):
+        return
+    cuts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+    good = (np.maximum.reduceat(held, cuts) > r.penalty) & (np.add.reduceat(held, cuts) >= int(r.least * r.words) - r.penalty - 1)
+    ends = np.r_[cuts[1:], len(pair)]
+    of, starts = -1, np.zeros(0, dtype=np.int64)
+    for lo, hi in zip(cuts[good].tolist(), ends[good].tolist()):
+        t, k = int(pair[lo]) // n_items, int(item[lo])
+        if t != of:
+            of, starts = t, np.cumsum([0, *map(len, words[t][:-1])]) + np.arange(len(words[t]))
+        word = first[lo:hi] - index.first_word[k]
+        line = np.searchsorted(starts, index.starts[k][word] + diagonal[lo:hi], side="right") - 1 - word
+        n = held[lo:hi]
+        taken: list[tuple[int, int, int]] = []
+        likely: list[tuple[int, int, int]] = []
+        for at in np.argsort(-n, kind="stable").tolist():
+            x = int(line[at])
+            if n[at] <= r.penalty:
+                break
+            if all(abs(x - y) > r.reach // 2 for y, _, _ in taken):
+                close = np.abs(line - x) <= r.reach // 2
+                here = stretches(list(zip(word[close].tolist(), n[close].tolist())), r)
+                if here:
+                    likely += here
+                    taken.append((x, min(s[0] for s in here) - r.reach, max(s[1] for s in here) + r.reach))
+        if taken and hopeful(likely, r):
+            yield t, k, taken
+
+
 def find_leaks(
     corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str,
     rules: Rules = Rules(), block_chars: int = 2_000_000, chunk_chars: int = 400_000,
