@@ -110,7 +110,7 @@ def lookup(typed: DataFrame, reference: DataFrame, most: int = 2, broadcast_byte
     if 64 * size[0] + 4 * (size[1] or 0) <= broadcast_bytes:
         dictionary = F.broadcast(dictionary)
     tried = wanted.join(names.select(F.col("matched").alias("base"), "qualifier").distinct(), ["base", "qualifier"], "left_anti")
-    tried = tried.withColumn("variant", F.explode(deletes(F.col("base"), most))).select("base", "qualifier", key)
+    tried = _spread(tried, "base", "qualifier").withColumn("variant", F.explode(deletes(F.col("base"), most))).select("base", "qualifier", key)
     pairs = tried.join(dictionary, "key").where("qualifier = q").select("base", "qualifier", "matched", "entry", "uses").distinct()
     inexact = _near(pairs, most).groupBy("base", "qualifier").agg(rank)
     hits = exact.unionByName(inexact).select(F.col("base").alias("b"), F.col("qualifier").alias("q"), "top.*")
