@@ -359,3 +359,11 @@ def test_hub_cells_are_sliced(spark):
     rows = [("hub", f"v{i:03d}") for i in range(300)] + [("x", "y"), ("y", "z")]
     got = {r["vertex"]: r["component"] for r in components.components(spark.createDataFrame(rows, "a string, b string"), "a", "b", cell_edges=10).collect()}
     assert got == {"hub": "hub"} | {f"v{i:03d}": "hub" for i in range(300)} | {c: "x" for c in "xyz"}
+
+
+def test_placeholder_codes_are_no_evidence(spark):
+    schema = "p long, code string, c0 long, base string"
+    df = spark.createDataFrame([(i, "ZZZ", 5, "x") for i in range(4)] + [(9, "AB", 6, "y"), (10, None, 0, "z")], schema)
+    got = {r["p"]: (r["code"], r["c0"]) for r in matching.without_placeholders(df, 3).collect()}
+    assert got == {**{i: (None, 0) for i in range(4)}, 9: ("AB", 6), 10: (None, 0)}
+    assert matching.without_placeholders(df, 4).where("code is not null").count() == 5
