@@ -152,6 +152,44 @@ def test_other_qualifiers_are_candidates_without_position(spark):
     assert {(r["pa"], r["pb"], r["by_code"]) for r in matching.candidates(a, b).collect()} >= {(1, 101, False), (2, 102, False)}
 
 
+def staged_rows(monkeypatch):
+    """Rows that the matching writes, by the name of the intermediate table."""
+    rows, write = {}, matching.stage
+
+    def counting(df, name):
+        out = write(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(matching, "stage", counting)
+    return rows
+
+
+def test_pairs_of_unlike_names_are_not_written(spark, monkeypatch):
+    """Records of one state whose names only share pieces are compared, yet what is written follows the records, not their square."""
+    rnd = random.Random(6)
+    names = sorted({"".join(rnd.choice("bdgklmnrstv") + rnd.choice("aiu") for _ in range(4)) + "pur" for _ in range(80)})
+    rows = [(i, f"C{i}", n, "Narmesh", None, None, None) for i, n in enumerate(names)]
+    right = spark.createDataFrame([(1000 + r[0], *r[1:]) for r in rows], REC)
+    rows, got = staged_rows(monkeypatch), matching.match(spark.createDataFrame(rows, REC), right, BOX).collect()
+    assert {(r["id_a"], r["id_b"]) for r in got} >= {(i, 1000 + i) for i in range(len(names))}
+    like = sum(near(x, y, 3) <= 3 for x in names for y in names)
+    assert rows["scored"] <= like < len(names) ** 2 / 4 and sum(rows.values()) <= like + 2 * len(names)
+
+
+def test_unwritten_pairs_count_and_return_where_they_match(spark):
+    """Codes that agree wherever unlike names stand together make such names match, for pairs without codes too."""
+    rnd = random.Random(7)
+    name = lambda: "".join(rnd.choice("bdgklmnrstv") + rnd.choice("aiu") for _ in range(5))
+    spot = lambda i: (str(10 + i * 0.2), "75.01")
+    left = [(i, f"C{i}" if i else None, name(), "Narmesh", *spot(i), None) for i in range(70)]
+    right = [(1000 + i, f"C{i}" if i else None, name(), "Narmesh", *spot(i), None) for i in range(70)]
+    got = matching.match(spark.createDataFrame(left, REC), spark.createDataFrame(right, REC), BOX).collect()
+    assert {(r["id_a"], r["id_b"]) for r in got} == {(i, 1000 + i) for i in range(70)}
+    far = [r for r in got if r["id_a"] == 0]
+    assert far[0]["score"] in matching.FAR_SCORES and far[0]["code_dice"] is None
+
+
 def test_calibrate_is_monotone():
     odds, same, other = matching.calibrate([(-5.0, 1000, 0), (0.0, 100, 20), (1.0, 100, 10), (5.0, 100, 60), (8.0, 1000, 600), (9.0, 10, 1)])
     assert [odds[s] for s in (-5.0, 0.0, 1.0, 5.0, 8.0)] == sorted(odds[s] for s in (-5.0, 0.0, 1.0, 5.0, 8.0))
