@@ -190,6 +190,33 @@ def test_unwritten_pairs_count_and_return_where_they_match(spark):
     assert far[0]["score"] in matching.FAR_SCORES and far[0]["code_dice"] is None
 
 
+def test_codes_of_many_are_evidence(spark):
+    """Renamed and moved records match by a code however many carry it; a code of many lets no unlike names elsewhere match."""
+    rnd = random.Random(8)
+    name = lambda: "".join(rnd.choice("bdgklmnrstv") + rnd.choice("aiu") for _ in range(5))
+    names, spot = [name() for _ in range(6)], lambda i: (str(10 + i), "75.01")
+    left = [(i, "ZZ", names[i], "Narmesh", *spot(i), None) for i in range(6)]
+    right = [(100 + i, "ZZ", name(), "Narmesh", *spot(i), None) for i in range(3)] + [(100 + i, "zz", names[i], "Belmor", None, None, None) for i in range(3, 6)]
+    a, b = spark.createDataFrame(left, REC), spark.createDataFrame(right, REC)
+    for most in (4, 1000):
+        assert sorted((r["id_a"], r["id_b"]) for r in matching.match(a, b, BOX, most_per_code=most).collect()) == [(i, 100 + i) for i in range(6)]
+
+
+def test_split_codes_lose_no_pair_that_counts(spark):
+    """Holders of a frequent code meet by cell or name piece: all pairs with like names or within reach, each once."""
+    rnd = random.Random(9)
+    syl = ["kad", "mil", "pur", "gom", "tib", "lur"]
+    spot = lambda: (str(20 + rnd.random() * 0.1), str(75 + rnd.random() * 0.1)) if rnd.random() < 0.7 else (None, None)
+    rows = lambda k: [(k + i, rnd.choice(["ZZ", "ZZ", "A1"]), "".join(rnd.choice(syl) for _ in range(4)), rnd.choice(["Narmesh", "Belmor", None]), *spot(), None) for i in range(70)]
+    a, b = (matching.profiles(matching.encode(spark.createDataFrame(rows(k), REC), BOX, 1.7))[0] for k in (0, 1000))
+    a, b = matching.with_holders(a, b, 30)
+    assert {r["many"] > 30 for r in a.where("code = 'ZZ'").collect()} == {True}
+    what = F.struct("pa", "pb", "by_code").alias("x")
+    whole, split = (matching.scored(matching.paired(a, b, s)).where(f"not by_code or near or km <= {matching.REACH_KM}").select(what).collect() for s in (False, True))
+    assert any(r["x"]["by_code"] for r in whole) and sorted(whole) == sorted(split)
+    assert matching.paired(a, b, True).count() < matching.paired(a, b).count()
+
+
 def test_calibrate_is_monotone():
     odds, same, other = matching.calibrate([(-5.0, 1000, 0), (0.0, 100, 20), (1.0, 100, 10), (5.0, 100, 60), (8.0, 1000, 600), (9.0, 10, 1)])
     assert [odds[s] for s in (-5.0, 0.0, 1.0, 5.0, 8.0)] == sorted(odds[s] for s in (-5.0, 0.0, 1.0, 5.0, 8.0))
