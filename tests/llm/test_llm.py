@@ -195,13 +195,23 @@ def test_codes_of_many_are_evidence(spark):
     rnd = random.Random(8)
     name = lambda: "".join(rnd.choice("bdgklmnrstv") + rnd.choice("aiu") for _ in range(5))
     names, spot = [name() for _ in range(6)], lambda i: (str(10 + i), "75.01")
-    left = [(i, "ZZ", names[i], "Narmesh", *spot(i), None) for i in range(6)]
+    left = [(i, "ZZ", names[i], "Narmesh", *spot(i), None) for i in range(6)] + [(10 + i, f"L{i}", name(), "Ojaspur", None, None, None) for i in range(400)]
     right = [(100 + i, "ZZ", name(), "Narmesh", *spot(i), None) for i in range(3)] + [(100 + i, "zz", names[i], "Belmor", None, None, None) for i in range(3, 6)]
+    right += [(200 + i, f"R{i}", name(), "Devgaon", None, None, None) for i in range(400)]
     a, b = spark.createDataFrame(left, REC), spark.createDataFrame(right, REC)
-    for most in (4, 1000):
+    for most in (5, 1000):
         assert sorted((r["id_a"], r["id_b"]) for r in matching.match(a, b, BOX, most_per_code=most).collect()) == [(i, 100 + i) for i in range(6)]
 
 
+def test_a_placeholder_code_matches_nothing_alone(spark):
+    """A code that half of all records carry lets neither moved nor like names match where their own evidence does not."""
+    rnd = random.Random(10)
+    names = ["".join(rnd.choice("bdgklmnrstv") + rnd.choice("aiu") for _ in range(5)) for _ in range(40)]
+    rows = lambda k, at: [(k + i, "XX" if i % 2 else f"{k}N{i}", n, "Narmesh", str(at + i * 0.2), "75.01", None) for i, n in enumerate(names)]
+    a, b = spark.createDataFrame(rows(0, 10), REC), spark.createDataFrame(rows(1000, 20), REC)
+    assert matching.match(a, b, BOX, most_per_code=2).count() == 0
+
+
 def test_split_codes_lose_no_pair_that_counts(spark):
     """Holders of a frequent code meet by cell or name piece: all pairs with like names or within reach, each once."""
     rnd = random.Random(9)
@@ -209,8 +219,8 @@ def test_split_codes_lose_no_pair_that_counts(spark):
     spot = lambda: (str(20 + rnd.random() * 0.1), str(75 + rnd.random() * 0.1)) if rnd.random() < 0.7 else (None, None)
     rows = lambda k: [(k + i, rnd.choice(["ZZ", "ZZ", "A1"]), "".join(rnd.choice(syl) for _ in range(4)), rnd.choice(["Narmesh", "Belmor", None]), *spot(), None) for i in range(70)]
     a, b = (matching.profiles(matching.encode(spark.createDataFrame(rows(k), REC), BOX, 1.7))[0] for k in (0, 1000))
-    a, b = matching.with_holders(a, b, 30)
-    assert {r["many"] > 30 for r in a.where("code = 'ZZ'").collect()} == {True}
+    a, b = matching.with_shares(a, b, 30)
+    assert {(r["code"], r["share"] > 0) for r in a.collect()} == {("ZZ", True), ("A1", False)}
     what = F.struct("pa", "pb", "by_code").alias("x")
     whole, split = (matching.scored(matching.paired(a, b, s)).where(f"not by_code or near or km <= {matching.REACH_KM}").select(what).collect() for s in (False, True))
     assert any(r["x"]["by_code"] for r in whole) and sorted(whole) == sorted(split)
